@@ -82,23 +82,20 @@ def _slice_of(score: Column, edges: Column, log2_slices: int) -> Column:
     )
 
 
-def roc_auc(
-    df: DataFrame, keys: Sequence[str], y: str = "y", score: str = "p", log2_slices: int = 9
+def _ranked_totals(
+    df: DataFrame, keys: Sequence[str], y: str, score: str, log2_slices: int, sums: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Exact area under the ROC curve per key, ties counted half; NaN with one class.
-
-    A rank over all rows of a key would put a large key into one task. Instead:
-    equal scores collapse to one row of counts (combined before the shuffle), the
-    score axis is cut at quantiles of the remaining scores, a window runs inside
-    each (key, slice), and a second window adds up whole slices, at most
-    ``2**log2_slices`` rows per key. More slices mean smaller tasks, same result.
-    """
+    """Per key: positives ``_p``, negatives ``_n``, won pairs ``_wins``, and sums of further row values."""
+    sums = sums or {}
+    extra = [F.sum(c).alias(name) for name, c in sums.items()]
+    again = [F.sum(name).alias(name) for name in sums]
     ties = df.groupBy(*keys, F.col(score).alias("_s")).agg(
-        F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg")
+        F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"), *extra
     )
     n_slices = 1 << log2_slices
-    # the filter keeps both counts alive, so that this branch reuses the shuffle of `ties`
-    edges = ties.where(F.col("_pos") + F.col("_neg") > 0).agg(
+    # the filter keeps all sums alive, so that this branch reuses the shuffle of `ties`
+    alive = F.col("_pos") + F.col("_neg") + sum((F.col(name) for name in sums), F.lit(0)) > 0
+    edges = ties.where(alive).agg(
         F.percentile_approx("_s", [i / n_slices for i in range(1, n_slices)], 10 * n_slices)
     ).scalar()
     sliced = ties.withColumn("_edges", edges).withColumn(
@@ -110,32 +107,57 @@ def roc_auc(
         sliced.withColumn("_below", F.coalesce(F.sum("_neg").over(inside), F.lit(0)).cast("double"))
         .groupBy(*keys, "_slice")
         .agg(
-            F.sum(pos).alias("_p"), F.sum(neg).alias("_n"),
-            F.sum(pos * (F.col("_below") + neg / 2)).alias("_w"),
+            F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"),
+            F.sum(pos * (F.col("_below") + neg / 2)).alias("_w"), *again,
         )
     )
     before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("_w") + F.col("_p") * F.coalesce(F.sum("_n").over(before), F.lit(0.0))
-    totals = slices.withColumn("_wins", wins).groupBy(*keys).agg(
-        F.sum("_wins").alias("_wins"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n")
-    )
-    pairs = F.col("_p") * F.col("_n")
-    return totals.select(
-        *keys, F.when(pairs == 0, F.lit(float("nan"))).otherwise(F.col("_wins") / pairs).alias("roc_auc")
+    wins = F.col("_w") + F.col("_p").cast("double") * F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("double")
+    return slices.withColumn("_wins", wins).groupBy(*keys).agg(
+        F.sum("_wins").alias("_wins"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), *again
     )
 
 
+def _auc_column() -> Column:
+    pairs = F.col("_p").cast("double") * F.col("_n").cast("double")
+    return F.when(pairs == 0, F.lit(float("nan"))).otherwise(F.col("_wins") / pairs)
+
+
+def roc_auc(
+    df: DataFrame, keys: Sequence[str], y: str = "y", score: str = "p", log2_slices: int = 9
+) -> DataFrame:
+    """Exact area under the ROC curve per key, ties counted half; NaN with one class.
+
+    A rank over all rows of a key would put a large key into one task. Instead:
+    equal scores collapse to one row of counts (combined before the shuffle), the
+    score axis is cut at quantiles of the remaining scores, a window runs inside
+    each (key, slice), and a second window adds up whole slices, at most
+    ``2**log2_slices`` rows per key. More slices mean smaller tasks, same result.
+    """
+    return _ranked_totals(df, keys, y, score, log2_slices).select(*keys, _auc_column().alias("roc_auc"))
+
+
 def fold_scores(
-    df: DataFrame, keys: Sequence[str], fold: str = "fold", y: str = "y", yhat: str = "yhat", score: str = "p"
+    df: DataFrame, keys: Sequence[str], fold: str = "fold", y: str = "y", yhat: str = "yhat", score: str = "p",
+    log2_slices: int = 9,
 ) -> DataFrame:
-    """Six metrics per key and fold. A fold whose rows hold one class gets NaN on all six."""
+    """Six metrics per key and fold. A fold whose rows hold one class gets NaN on all six.
+
+    The confusion counts ride along with the score counts, so one scan and one
+    shuffle of the predictions serve all six.
+    """
     by = [*keys, fold]
-    counts = classification_metrics(df, by, y, yhat, [m for m in CV_METRICS if m != "roc_auc"], keep_counts=True)
-    auc = roc_auc(df, by, y, score)
-    one_class = (F.col("tp") + F.col("fn") == 0) | (F.col("tn") + F.col("fp") == 0)
-    joined = counts.join(auc, by)
-    return joined.select(
-        *by, *[F.when(one_class, F.lit(float("nan"))).otherwise(F.col(m)).alias(m) for m in CV_METRICS]
+    t, p = F.col(y), F.col(yhat)
+    totals = _ranked_totals(df, by, y, score, log2_slices, {
+        "tp": F.when((t == 1) & (p == 1), 1).otherwise(0), "fp": F.when((t == 0) & (p == 1), 1).otherwise(0),
+    })
+    counts = totals.withColumns({
+        "fn": F.col("_p") - F.col("tp"), "tn": F.col("_n") - F.col("fp"), "n": F.col("_p") + F.col("_n"),
+    })
+    exprs = {**metric_columns(), "roc_auc": _auc_column()}
+    one_class = (F.col("_p") == 0) | (F.col("_n") == 0)
+    return counts.select(
+        *by, *[F.when(one_class, F.lit(float("nan"))).otherwise(exprs[m]).alias(m) for m in CV_METRICS]
     )
 
 

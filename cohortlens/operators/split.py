@@ -42,37 +42,37 @@ def split_train_test(
 
 
 def fold_ends(
-    df: DataFrame, label: str, k: int, keys: Sequence[str] = (), row_id: str = "row_id", seed: int = SPLIT_SEED
+    df: DataFrame, label: str, k: int | str, keys: Sequence[str] = (), row_id: str = "row_id", seed: int = SPLIT_SEED
 ) -> DataFrame:
     """Last order key of folds 0..k-2 per key and class: ``keys, label, ends array<string>``.
 
+    ``k`` is a number, or the name of a column that is constant within ``keys``.
+
     Fold sizes follow the usual stratified rule: deal the rows, sorted by class,
     round robin to the folds and count. Class sizes per fold then differ by at most
     one, and so do fold sizes. Classes are ordered by first appearance.
     """
-    if k < 2:
+    if not isinstance(k, str) and k < 2:
         raise ValueError("k must be at least 2")
     by = [*keys, label]
-    ordered = df.select(*by, order_key(row_id, seed).alias("_o"))
-    classes = ordered.groupBy(*by).agg(F.count(F.lit(1)).alias("_nc"), F.min("_o").alias("_first"))
+    folds = F.col(k) if isinstance(k, str) else F.lit(k)
+    ordered = df.select(*by, order_key(row_id, seed).alias("_o"), folds.alias("_k"))
+    classes = ordered.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_nc"), F.min("_o").alias("_first"), F.max("_k").alias("_k"))
     earlier = (
         Window.partitionBy(*(list(keys) or [F.lit(1)])).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     )
-    info = classes.select(*by, "_nc", F.coalesce(F.sum("_nc").over(earlier), F.lit(0)).alias("_start"))
+    info = classes.select(*by, "_k", "_nc", F.coalesce(F.sum("_nc").over(earlier), F.lit(0)).alias("_start"))
 
-    def dealt(position: Column, fold: Column) -> Column:
-        """How many of the positions 0..position-1 go to ``fold``."""
-        return F.floor((position - fold + (k - 1)) / k)
+    def dealt(position: Column, i: Column) -> Column:
+        """How many of the positions 0..position-1 go to the first ``i`` folds."""
+        return F.floor(position / F.col("_k")) * i + F.least(position % F.col("_k"), i)
 
     start, stop = F.col("_start"), F.col("_start") + F.col("_nc")
-    size = lambda i: dealt(stop, i) - dealt(start, i)
-    ends: list[Column] = []
-    total: Column = F.lit(0)
-    for i in range(k - 1):
-        total = total + size(F.lit(i))
-        ends.append(total)
-    # an empty first fold of a tiny class ends before its first row
-    targets = info.withColumn("_ends", F.array(*[e.cast("long") for e in ends]))
+    targets = info.withColumn("_ends", F.transform(
+        F.sequence(F.lit(1), F.col("_k") - 1), lambda i: (dealt(stop, i) - dealt(start, i)).cast("long")
+    ))
+    # an empty first fold of a tiny class ends before its first row: no rank to look up
     found = values_at_ranks(ordered, by, "_o", F.filter("_ends", lambda e: e > 0), targets.select(*by, "_ends"))
     by_rank = found.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("_at"))
     return targets.join(by_rank, by, "left").select(
@@ -81,12 +81,12 @@ def fold_ends(
 
 
 def stratified_folds(
-    df: DataFrame, label: str, k: int, keys: Sequence[str] = (), row_id: str = "row_id", seed: int = SPLIT_SEED,
-    fold: str = "fold", mode: str = "exact",
+    df: DataFrame, label: str, k: int | str, keys: Sequence[str] = (), row_id: str = "row_id",
+    seed: int = SPLIT_SEED, fold: str = "fold", mode: str = "exact",
 ) -> DataFrame:
     """Add a fold number 0..k-1, stratified by ``label`` within ``keys``."""
     if mode == "hash":
-        return df.withColumn(fold, hash_share(row_id, seed + k, k))
+        return df.withColumn(fold, hash_share(row_id, seed + 1, k))
     if mode != "exact":
         raise ValueError("mode is 'exact' or 'hash'")
     ends = small_or_distributed(fold_ends(df, label, k, keys, row_id, seed))

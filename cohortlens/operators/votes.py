@@ -74,18 +74,28 @@ def ensemble_members(
     return shared.unionByName(own)
 
 
-def vote_table(df: DataFrame, ensembles: Mapping[str, Mapping[str, int]], keep: Sequence[str]) -> DataFrame:
-    """Long table ``keep, ensemble, yhat_hard, p_soft, yhat_soft`` for several ensembles at once."""
-    entries = F.array(*[
-        F.struct(
-            F.lit(name).alias("ensemble"), hard_vote(w).alias("yhat_hard"),
-            soft_score(w).alias("p_soft"), soft_vote(w).alias("yhat_soft"),
+def collect_weights(members: DataFrame, order: Sequence[str]) -> dict[tuple[str, str], dict[str, int]]:
+    """Weights per (outcome, ensemble), models in registry order. A handful of rows."""
+    found: dict[tuple[str, str], dict[str, int]] = {}
+    for r in member_weights(members, ["outcome", "ensemble"]).collect():
+        found.setdefault((r["outcome"], r["ensemble"]), {})[r["algorithm"]] = r["weight"]
+    return {k: {m: w[m] for m in order if m in w} for k, w in sorted(found.items())}
+
+
+def vote_table(
+    df: DataFrame, ensembles: Mapping[tuple[str, str], Mapping[str, int]], keep: Sequence[str],
+    model_name=lambda outcome, algorithm: algorithm,
+) -> DataFrame:
+    """Long table ``keep, outcome, ensemble, y, yhat_hard, p_soft, yhat_soft``: all ensembles in one pass."""
+    def entry(outcome: str, name: str, weights: Mapping[str, int]) -> Column:
+        w = {model_name(outcome, m): n for m, n in weights.items()}
+        return F.struct(
+            F.lit(outcome).alias("outcome"), F.lit(name).alias("ensemble"), F.col(outcome).alias("y"),
+            hard_vote(w).alias("yhat_hard"), soft_score(w).alias("p_soft"), soft_vote(w).alias("yhat_soft"),
         )
-        for name, w in ensembles.items()
-    ])
-    return df.select(*keep, F.explode(entries).alias("_e")).select(
-        *keep, "_e.ensemble", "_e.yhat_hard", "_e.p_soft", "_e.yhat_soft"
-    )
+
+    entries = F.array(*[entry(o, e, w) for (o, e), w in ensembles.items()])
+    return df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.*")
 
 
 def predictions_wide(

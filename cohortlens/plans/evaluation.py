@@ -21,16 +21,28 @@ STRATEGIES = ("one_for_all", "one_per_group", "ensemble_on_all", "ensemble_on_gr
 RESULT_COLUMNS = ("outcome", "strategy", "calibration", "ensemble", "attribute", "grp", *EVALUATION_METRICS)
 
 
-def long_by_outcome(df: DataFrame, outcomes: Sequence[str], models: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Unpivot outcomes x models of a wide row, without a shuffle."""
+def by_outcome(df: DataFrame, outcomes: Sequence[str]) -> DataFrame:
+    """One row per outcome with its label as ``y``; scores stay side by side."""
+    entries = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in outcomes])
+    return df.withColumn("_e", F.explode(entries)).select(
+        *[c for c in df.columns if c not in outcomes], F.col("_e.outcome"), F.col("_e.y"))
+
+
+def by_model(df: DataFrame, models: Sequence[str]) -> DataFrame:
+    """One row per model with its ``p`` and ``yhat``."""
     entries = F.array(*[
-        F.struct(
-            F.lit(o).alias("outcome"), F.col(o).alias("y"), F.lit(m).alias("algorithm"),
-            F.lit(i).alias("ordinal"), F.col(p_col(m)).alias("p"), F.col(yhat_col(m)).alias("yhat"),
-        )
-        for o in outcomes for i, m in enumerate(models)
+        F.struct(F.lit(m).alias("algorithm"), F.lit(i).alias("ordinal"),
+                 F.col(p_col(m)).alias("p"), F.col(yhat_col(m)).alias("yhat"))
+        for i, m in enumerate(models)
     ])
-    return df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.*")
+    dropped = {c for m in models for c in (p_col(m), yhat_col(m))}
+    return df.withColumn("_e", F.explode(entries)).select(*[c for c in df.columns if c not in dropped], "_e.*")
+
+
+def long_by_outcome(df: DataFrame, outcomes: Sequence[str], models: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Unpivot outcomes x models of a wide row, without a shuffle."""
+    cols = [*keep, *outcomes, *[c for m in models for c in (p_col(m), yhat_col(m))]]
+    return by_model(by_outcome(df.select(*cols), outcomes), models)
 
 
 def scope_cv_scores(predictions: DataFrame, fold: str = "fold") -> DataFrame:
