@@ -124,13 +124,13 @@ def base_members(scores):
 
 def votes_on_all(study, scores):
     members = ensemble_members(base_members(scores), group_best(scores), ATTRIBUTES)
-    return vote_table(read_split(study, "test"), collect_weights(members, C.SCORERS), KEEP)
+    return vote_table(E.by_outcome(read_split(study, "test"), OUTCOMES), collect_weights(members, C.SCORERS), KEEP)
 
 
 def votes_on_groups(study, scores):
     members = base_members(scores).unionByName(overall_best(scores).select("outcome", "algorithm"))
     weights = collect_weights(members.withColumn("ensemble", F.lit("best_and_runners_up")), C.SCORERS)
-    return with_membership(vote_table(read_split(study, "test"), weights, KEEP), C.ORDER_REGISTRY)
+    return with_membership(vote_table(E.by_outcome(read_split(study, "test"), OUTCOMES), weights, KEEP), C.ORDER_REGISTRY)
 
 
 def shared_predictions(study, scores):

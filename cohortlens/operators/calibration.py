@@ -23,7 +23,8 @@ VARIANTS = ("raw", "sigmoid", "isotonic")
 
 def _score_counts(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
     """Positives and negatives per distinct score: all that either calibrator needs."""
-    return df.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
+    usable = df.where(~F.isnan(F.col(score).cast("double")))
+    return usable.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
         F.sum(F.col(y).cast("double")).alias("_pos"), F.sum(1 - F.col(y).cast("double")).alias("_neg")
     )
 
@@ -229,25 +230,59 @@ def calibrated_mean(df: DataFrame, keys: Sequence[str], p: str = "p") -> DataFra
     return mean.withColumn("yhat", F.when(F.col("p") > 0.5, 1).otherwise(0))
 
 
-def calibrate_scores(
-    fit_rows: DataFrame, apply_rows: DataFrame, model_keys: Sequence[str], row_keys: Sequence[str],
-    methods: Sequence[str] = ("sigmoid", "isotonic"), inner: str = "inner",
+def fit_calibrators(
+    df: DataFrame, keys: Sequence[str], methods: Sequence[str] = ("sigmoid", "isotonic"), inner: str = "inner",
+    n_inner: int = 2,
 ) -> DataFrame:
-    """Calibrate ``apply_rows`` with calibrators fitted on ``fit_rows``.
+    """All calibrators of a model in one row: ``keys, a_0, b_0, xs_0, ys_0, a_1, ...``.
 
-    Both carry ``model_keys``, ``inner`` and ``score``; ``fit_rows`` also ``y``.
-    Returns ``model_keys, row_keys, calibration, p, yhat`` with the inner models averaged.
+    ``df`` is long: ``keys, inner, score, y`` with held-out scores.
     """
-    from cohortlens.operators.selection import union_all
-
-    keys = [*model_keys, inner]
     parts = []
     for method in methods:
         if method == "sigmoid":
-            part = apply_sigmoid(apply_rows, fit_sigmoid(fit_rows, keys), keys)
+            fitted, columns = fit_sigmoid(df, [*keys, inner]), ("a", "b")
         elif method == "isotonic":
-            part = apply_isotonic(apply_rows, fit_isotonic(fit_rows, keys), keys)
+            fitted, columns = fit_isotonic(df, [*keys, inner]), ("xs", "ys")
         else:
             raise ValueError(f"unknown calibration {method!r}")
-        parts.append(part.withColumn("calibration", F.lit(method)))
-    return calibrated_mean(union_all(parts), [*model_keys, *row_keys, "calibration"])
+        parts.append(fitted.groupBy(*keys).agg(*[
+            F.first(F.when(F.col(inner) == i, F.col(c)), ignorenulls=True).alias(f"{c}_{i}")
+            for i in range(n_inner) for c in columns
+        ]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, list(keys))
+    return small_or_distributed(out)
+
+
+def apply_calibrators(
+    df: DataFrame, fitted: DataFrame, keys: Sequence[str], scores: Sequence[str],
+    methods: Sequence[str] = ("sigmoid", "isotonic"),
+) -> DataFrame:
+    """Recalibrated predictions of rows that carry the scores of all inner models side by side.
+
+    Adds ``calibration, p, yhat`` with the inner models averaged: a per-row
+    expression, so nothing is grouped or shuffled. A NaN score, from a training
+    part with one class, stays NaN.
+    """
+    cols = [c for c in df.columns if c not in scores]
+    joined = df.join(fitted, list(keys))
+    at = {}
+    if "isotonic" in methods:
+        at = {f"_i_{i}": thresholds_up_to(F.col(f"xs_{i}"), F.col(s)) for i, s in enumerate(scores)}
+        joined = joined.withColumns(at)
+
+    def one(method: str, i: int, s: str) -> Column:
+        if method == "sigmoid":
+            p = 1 / (1 + F.exp(F.col(f"a_{i}") * F.col(s) + F.col(f"b_{i}")))
+        else:
+            p = interpolate(F.col(f"_i_{i}"), F.col(f"xs_{i}"), F.col(f"ys_{i}"), F.col(s))
+        return F.when(F.isnan(s), F.lit(float("nan"))).otherwise(p)
+
+    entries = []
+    for method in methods:
+        p = sum((one(method, i, s) for i, s in enumerate(scores)), F.lit(0.0)) / len(scores)
+        entries.append(F.struct(F.lit(method).alias("calibration"), p.alias("p")))
+    out = joined.withColumn("_e", F.explode(F.array(*entries))).select(*cols, "_e.calibration", "_e.p")
+    return out.withColumn("yhat", F.when((F.col("p") > 0.5) & ~F.isnan("p"), 1).otherwise(0))

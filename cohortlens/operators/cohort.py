@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.encode import fit_levels, one_hot_columns
+from cohortlens.functions.encode import fit_levels, one_hot_columns, slug
 from cohortlens.functions.rules import KeywordRule, equals_flag, keyword_bucket, member_flag
 
 
@@ -65,15 +65,15 @@ def fit_cohort_levels(df: DataFrame, spec: CohortSpec, sep: str | None = None) -
 def feature_table(df: DataFrame, spec: CohortSpec, levels: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:
     """Numeric and one-hot features, outcomes and carried columns in one ``select``.
 
-    Returns the table and the names of its feature columns. ``df`` has been through
-    :func:`derive`.
+    Returns the table and the names of its feature columns, numeric ones first; names
+    are in snake case. ``df`` has been through :func:`derive`.
     """
     reference = {c: r for c, r in spec.categorical.items() if r is not None}
     indicators = one_hot_columns({c: levels[c] for c in spec.categorical}, reference)
     carried = [c for c in spec.carry if c != spec.row_id]
     out = df.select(
         F.col(spec.row_id).alias("row_id"),
-        *[F.col(c).cast("double").alias(c) for c in spec.numeric],
+        *[F.col(c).cast("double").alias(slug(c)) for c in spec.numeric],
         *indicators,
         *[F.col(o) for o in spec.outcomes],
         *[F.col(c) for c in carried],

@@ -141,7 +141,8 @@ def fold_scores(
     df: DataFrame, keys: Sequence[str], fold: str = "fold", y: str = "y", yhat: str = "yhat", score: str = "p",
     log2_slices: int = 9,
 ) -> DataFrame:
-    """Six metrics per key and fold. A fold whose rows hold one class gets NaN on all six.
+    """Six metrics per key and fold. A fold whose rows hold one class gets NaN on all six, and so
+    does a fold whose model could not be fitted (its scores are NaN).
 
     The confusion counts ride along with the score counts, so one scan and one
     shuffle of the predictions serve all six.
@@ -150,12 +151,13 @@ def fold_scores(
     t, p = F.col(y), F.col(yhat)
     totals = _ranked_totals(df, by, y, score, log2_slices, {
         "tp": F.when((t == 1) & (p == 1), 1).otherwise(0), "fp": F.when((t == 0) & (p == 1), 1).otherwise(0),
+        "unscored": F.when(F.isnan(score), 1).otherwise(0),
     })
     counts = totals.withColumns({
         "fn": F.col("_p") - F.col("tp"), "tn": F.col("_n") - F.col("fp"), "n": F.col("_p") + F.col("_n"),
     })
     exprs = {**metric_columns(), "roc_auc": _auc_column()}
-    one_class = (F.col("_p") == 0) | (F.col("_n") == 0)
+    one_class = (F.col("_p") == 0) | (F.col("_n") == 0) | (F.col("unscored") > 0)
     return counts.select(
         *by, *[F.when(one_class, F.lit(float("nan"))).otherwise(exprs[m]).alias(m) for m in CV_METRICS]
     )

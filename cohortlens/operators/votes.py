@@ -43,8 +43,9 @@ def soft_score(weights: Mapping[str, int]) -> Column:
 
 
 def soft_vote(weights: Mapping[str, int]) -> Column:
-    """1 if the mean probability is above one half; a tie goes to 0."""
-    return F.when(soft_score(weights) > 0.5, 1).otherwise(0)
+    """1 if the mean probability is above one half; a tie goes to 0, and so does a missing member."""
+    score = soft_score(weights)
+    return F.when((score > 0.5) & ~F.isnan(score), 1).otherwise(0)  # NaN sorts above every number
 
 
 def member_weights(members: DataFrame, ensemble: Sequence[str]) -> DataFrame:
@@ -83,19 +84,22 @@ def collect_weights(members: DataFrame, order: Sequence[str]) -> dict[tuple[str,
 
 
 def vote_table(
-    df: DataFrame, ensembles: Mapping[tuple[str, str], Mapping[str, int]], keep: Sequence[str],
-    model_name=lambda outcome, algorithm: algorithm,
+    df: DataFrame, ensembles: Mapping[tuple[str, str], Mapping[str, int]], keep: Sequence[str]
 ) -> DataFrame:
-    """Long table ``keep, outcome, ensemble, y, yhat_hard, p_soft, yhat_soft``: all ensembles in one pass."""
-    def entry(outcome: str, name: str, weights: Mapping[str, int]) -> Column:
-        w = {model_name(outcome, m): n for m, n in weights.items()}
-        return F.struct(
-            F.lit(outcome).alias("outcome"), F.lit(name).alias("ensemble"), F.col(outcome).alias("y"),
-            hard_vote(w).alias("yhat_hard"), soft_score(w).alias("p_soft"), soft_vote(w).alias("yhat_soft"),
-        )
-
-    entries = F.array(*[entry(o, e, w) for (o, e), w in ensembles.items()])
-    return df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.*")
+    """Long table ``keep, outcome, y, ensemble, yhat_hard, p_soft, yhat_soft``: all ensembles in one pass.
+
+    ``df`` has one row per row and outcome, with the scores of all members side by side.
+    """
+    def entry(name: str, w: Mapping[str, int]) -> Column:
+        return F.struct(F.lit(name).alias("ensemble"), hard_vote(w).alias("yhat_hard"),
+                        soft_score(w).alias("p_soft"), soft_vote(w).alias("yhat_soft"))
+
+    entries = F.array_compact(F.array(*[
+        F.when(F.col("outcome") == o, entry(e, w)) for (o, e), w in ensembles.items()
+    ]))
+    cols = [c for c in (*keep, "outcome", "y") if c in df.columns]
+    cols = list(dict.fromkeys(cols))
+    return df.withColumn("_e", F.explode(entries)).select(*cols, "_e.*")
 
 
 def predictions_wide(
