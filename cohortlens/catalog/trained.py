@@ -1,0 +1,123 @@
+"""Queries that train models. Checked by invariants in the tests, not by SQL."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from cohortlens.catalog.base import query
+from cohortlens.operators.metrics import EVALUATION_METRICS, classification_metrics, roc_auc
+from cohortlens.operators.models import ALGORITHMS, ModelSettings, algorithms, fit, score_all
+from cohortlens.operators.subgroups import with_membership
+from cohortlens.operators.training import cached
+from cohortlens.plans import cohorts as C
+from cohortlens.plans import study as ST
+from cohortlens.plans.evaluation import by_model
+
+#: forests stop earlier here than by default, to keep a single query short
+ORDER_SETTINGS = ModelSettings(forest_depth=8)
+DOCUMENT_SETTINGS = ModelSettings(tree_depth=5, logistic_iterations=100)
+
+
+def _orders(spark, folder, attributes=("segment",), **options):
+    spec = ST.StudySpec(C.ORDER_SPEC, C.ORDER_REGISTRY, attributes=attributes, settings=ORDER_SETTINGS,
+                        parallel_fits=8, **options)
+    return ST.prepare(C.orders_cohort(spark, folder), spec)
+
+
+def _single(name: str):
+    def run(spark, folder):
+        """Fit on the training part, then score every test row and evaluate everyone and each subgroup."""
+        study = _orders(spark, folder, algorithms=(name,), calibrated_cv=False)
+        scope, algo = study.scopes[0], algorithms([name])[0]
+        train = cached(study.labelled(study.vectors(scope, "train"), "y1"))
+        model = fit(algo, train, study.plan.total(scope, "y1"), len(study.features), ORDER_SETTINGS)
+        test = study.labelled(study.vectors(scope, "test"), "y1", study.carry)
+        scored = by_model(model.score(test).drop("features"), [name])
+        rows = with_membership(scored, C.ORDER_REGISTRY, whole=True)
+        keys = ["algorithm", "attribute", "grp"]
+        return classification_metrics(rows, keys, keep_counts=True).join(roc_auc(rows, keys), keys)
+
+    return run
+
+
+for _name in ALGORITHMS:
+    query(f"m_{_name.replace('-', '_')}")(_single(_name))
+
+
+@query("m_probability")
+def probability(spark, folder):
+    """Class and positive-class probability of every test order, two models side by side."""
+    study = _orders(spark, folder, algorithms=("dt", "log-reg"), calibrated_cv=False)
+    scope = study.scopes[0]
+    train = cached(study.labelled(study.vectors(scope, "train"), "y2"))
+    fitted = [fit(a, train, study.plan.total(scope, "y2"), len(study.features), ModelSettings(tree_depth=8))
+              for a in study.algos]
+    test = study.labelled(study.vectors(scope, "test"), "y2")
+    return by_model(score_all(fitted, test), [a.name for a in study.algos]).select("row_id", "algorithm", "y", "p", "yhat")
+
+
+@query("m_platt")
+def platt(spark, folder):
+    """Sigmoid and isotonic recalibration of a logistic regression on held-out halves, on all test orders."""
+    study = _orders(spark, folder, attributes=("segment",), algorithms=("log-reg",), calibrated_cv=False)
+    study.scopes = study.scopes[:1]
+    ST.train_all(study)
+    return ST.predictions(study, ST.calibrators(study)).select("outcome", "algorithm", "calibration", "row_id", "y", "p", "yhat")
+
+
+@query("m_cv")
+def cross_validation(spark, folder):
+    """Three-fold CV on everyone, two-fold in two segments: raw fold scores and means of six metrics."""
+    study = _orders(spark, folder, algorithms=("log-reg",), calibrated_cv=False)
+    ST.train_all(study)
+    return ST.cv_scores(study, None)
+
+
+@query("m_calibrated_cv")
+def calibrated_cross_validation(spark, folder):
+    """Cross-validation of recalibrated models: outer folds scored by calibrators fitted inside each training part."""
+    study = _orders(spark, folder, algorithms=("log-reg",))
+    study.scopes = study.scopes[:1]
+    ST.train_all(study)
+    return ST.cv_scores(study, ST.calibrators(study))
+
+
+def _documents(**options):
+    base = dict(algorithms=("dt", "log-reg", "gb"), attributes=("lang",), parallel_fits=8,
+                settings=ModelSettings(tree_depth=5, logistic_iterations=100, stump_rounds=10))
+    return ST.StudySpec(C.DOCUMENT_SPEC, C.DOCUMENT_REGISTRY, **{**base, **options})
+
+
+def _strategies(spark, folder, wanted, **options):
+    spec = _documents(calibrated_cv=False, ensemble_cv=False, **options)
+    out = ST.run_study(C.documents_cohort(spark, folder), spec)["evaluation"]
+    return out.where(F.col("strategy").isin(*wanted)).select(
+        "outcome", "strategy", "ensemble", "attribute", "grp", *EVALUATION_METRICS)
+
+
+@query("m_bottom_up")
+def bottom_up(spark, folder):
+    """Runners-up plus each group's winner, all fitted on everyone."""
+    return _strategies(spark, folder, ["ensemble_on_all"])
+
+
+@query("m_top_down")
+def top_down(spark, folder):
+    """Best on everyone plus runners-up, fitted inside each group."""
+    return _strategies(spark, folder, ["ensemble_on_group"])
+
+
+@query("m_prefit")
+def prefit(spark, folder):
+    """As the first, but each group's winner votes as fitted on its group."""
+    return _strategies(spark, folder, ["ensemble_on_all"], refit=False)
+
+
+@query("m_study")
+def whole_study(spark, folder):
+    """All phases on labelled documents; returns the table of the four strategies per group."""
+    spec = _documents(algorithms=("dt", "log-reg"), folds_outer=3)
+    return ST.run_study(C.documents_cohort(spark, folder), spec)["strategies_by_group"]
+
+
