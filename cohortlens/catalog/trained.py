@@ -6,13 +6,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.catalog.base import query
+from cohortlens.operators.cohort import derive, feature_table, fit_cohort_levels
+from cohortlens.operators.features import assemble, impute
 from cohortlens.operators.metrics import EVALUATION_METRICS, classification_metrics, roc_auc
 from cohortlens.operators.models import ALGORITHMS, ModelSettings, algorithms, fit, score_all
+from cohortlens.operators.split import split_train_test
 from cohortlens.operators.subgroups import with_membership
 from cohortlens.operators.training import cached
 from cohortlens.plans import cohorts as C
 from cohortlens.plans import study as ST
 from cohortlens.plans.evaluation import by_model
+from cohortlens.session import materialize
+from cohortlens.sources import read_split
 
 #: forests stop earlier here than by default, to keep a single query short
 ORDER_SETTINGS = ModelSettings(forest_depth=8)
@@ -25,14 +30,24 @@ def _orders(spark, folder, attributes=("segment",), **options):
     return ST.prepare(C.orders_cohort(spark, folder), spec)
 
 
+def _order_vectors(spark, folder, outcome):
+    """Imputed, assembled train and test orders, and the class counts of the training part."""
+    df = derive(C.orders_cohort(spark, folder), C.ORDER_SPEC)
+    table, features = feature_table(df, C.ORDER_SPEC, fit_cohort_levels(df, C.ORDER_SPEC))
+    table = materialize(split_train_test(table), "orders", ("is_test",))
+    table = impute(read_split(table, "train"), table, list(C.ORDER_SPEC.numeric))
+    rows = assemble(table, features).select(
+        "row_id", F.col(outcome).alias("y"), "is_test", *C.ORDER_ATTRIBUTES, "features")
+    train = cached(read_split(rows, "train"))
+    counts = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+    return train, read_split(rows, "test"), (counts.get(0, 0), counts.get(1, 0)), len(features)
+
+
 def _single(name: str):
     def run(spark, folder):
         """Fit on the training part, then score every test row and evaluate everyone and each subgroup."""
-        study = _orders(spark, folder, algorithms=(name,), calibrated_cv=False)
-        scope, algo = study.scopes[0], algorithms([name])[0]
-        train = cached(study.labelled(study.vectors(scope, "train"), "y1"))
-        model = fit(algo, train, study.plan.total(scope, "y1"), len(study.features), ORDER_SETTINGS)
-        test = study.labelled(study.vectors(scope, "test"), "y1", study.carry)
+        train, test, counts, n_features = _order_vectors(spark, folder, "y1")
+        model = fit(algorithms([name])[0], train, counts, n_features, ORDER_SETTINGS)
         scored = by_model(model.score(test).drop("features"), [name])
         rows = with_membership(scored, C.ORDER_REGISTRY, whole=True)
         keys = ["algorithm", "attribute", "grp"]
@@ -48,13 +63,10 @@ for _name in ALGORITHMS:
 @query("m_probability")
 def probability(spark, folder):
     """Class and positive-class probability of every test order, two models side by side."""
-    study = _orders(spark, folder, algorithms=("dt", "log-reg"), calibrated_cv=False)
-    scope = study.scopes[0]
-    train = cached(study.labelled(study.vectors(scope, "train"), "y2"))
-    fitted = [fit(a, train, study.plan.total(scope, "y2"), len(study.features), ModelSettings(tree_depth=8))
-              for a in study.algos]
-    test = study.labelled(study.vectors(scope, "test"), "y2")
-    return by_model(score_all(fitted, test), [a.name for a in study.algos]).select("row_id", "algorithm", "y", "p", "yhat")
+    train, test, counts, n_features = _order_vectors(spark, folder, "y2")
+    algos = algorithms(["dt", "log-reg"])
+    fitted = [fit(a, train, counts, n_features, ModelSettings(tree_depth=8)) for a in algos]
+    return by_model(score_all(fitted, test), [a.name for a in algos]).select("row_id", "algorithm", "y", "p", "yhat")
 
 
 @query("m_platt")

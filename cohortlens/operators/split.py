@@ -44,7 +44,9 @@ def split_train_test(
 def fold_ends(
     df: DataFrame, label: str, k: int | str, keys: Sequence[str] = (), row_id: str = "row_id", seed: int = SPLIT_SEED
 ) -> DataFrame:
-    """Last order key of folds 0..k-2 per key and class: ``keys, label, ends array<string>``.
+    """Last order key of folds 0..k-2 per key and class: ``keys, label, ends, rows_up_to``.
+
+    ``rows_up_to`` counts the rows of folds 0, 0..1, ..., all, so fold sizes need no extra pass.
 
     ``k`` is a number, or the name of a column that is constant within ``keys``.
 
@@ -76,7 +78,8 @@ def fold_ends(
     found = values_at_ranks(ordered, by, "_o", F.filter("_ends", lambda e: e > 0), targets.select(*by, "_ends"))
     by_rank = found.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("_at"))
     return targets.join(by_rank, by, "left").select(
-        *by, F.transform("_ends", lambda e: F.coalesce(F.try_element_at("_at", e), F.lit(""))).alias("ends")
+        *by, F.transform("_ends", lambda e: F.coalesce(F.try_element_at("_at", e), F.lit(""))).alias("ends"),
+        F.concat("_ends", F.array(F.col("_nc").cast("long"))).alias("rows_up_to"),
     )
 
 
@@ -89,7 +92,7 @@ def stratified_folds(
         return df.withColumn(fold, hash_share(row_id, seed + 1, k))
     if mode != "exact":
         raise ValueError("mode is 'exact' or 'hash'")
-    ends = small_or_distributed(fold_ends(df, label, k, keys, row_id, seed))
+    ends = small_or_distributed(fold_ends(df, label, k, keys, row_id, seed).drop("rows_up_to"))
     by = [*keys, label]
     mine = order_key(row_id, seed)
     return (

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.order import order_key
@@ -24,7 +24,6 @@ from cohortlens.operators.split import fold_ends
 from cohortlens.operators.subgroups import ALL, Registry, Subgroup, with_membership
 from cohortlens.operators.votes import p_col, yhat_col
 
-#: fold numbers below mean "outside the training part"
 Counts = dict[tuple, dict[int, int]]
 
 
@@ -102,32 +101,26 @@ def plan_folds(
     rows = _labelled_members(train, registry, outcomes, attributes).withColumn(
         "k_cv", F.when(F.col("attribute") == ALL, sizes["population"]).otherwise(sizes["subgroup"]))
 
-    def found(name: str, ends: list[Row]) -> None:
-        for r in ends:
-            held = r["held_out"] if "held_out" in r else -1
-            plan.ends.setdefault((name, r["attribute"], r["grp"], r["outcome"], held), {})[r["y"]] = list(r["ends"])
-
-    def numbered(name: str, df: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
-        key = order_key("row_id", seed)
-        out = df.join(ends, [*by, "y"]).withColumn(name, F.size(F.filter("ends", lambda e: e < key))).drop("ends")
-        held = F.col("held_out") if "held_out" in by else F.lit(-1)
-        for r in out.groupBy(*keys, held.alias("held_out"), name, "y").agg(F.count(F.lit(1)).alias("n")).collect():
-            at = (name.removeprefix("f_"), r["attribute"], r["grp"], r["outcome"], r["held_out"], r[name])
-            plan.counts.setdefault(at, {})[r["y"]] = r["n"]
-        return out
-
     def step(name: str, df: DataFrame, k: int | str, by: list[str]) -> DataFrame:
+        """Fetch the ends of all scopes in one go; return them as a small table."""
         ends = fold_ends(df, "y", k, by, seed=seed).toArrow()
-        local = train.sparkSession.createDataFrame(ends)
-        found(name, [Row(**r) for r in ends.to_pylist()])
-        return numbered(f"f_{name}", df, local, by)
+        for r in ends.to_pylist():
+            at = (name, r["attribute"], r["grp"], r["outcome"], r.get("held_out", -1))
+            plan.ends.setdefault(at, {})[r["y"]] = r["ends"]
+            up_to = [0, *r["rows_up_to"]]
+            for fold in range(len(up_to) - 1):
+                plan.counts.setdefault((*at, fold), {})[r["y"]] = up_to[fold + 1] - up_to[fold]
+        return train.sparkSession.createDataFrame(ends)
 
     step("cv", rows, "k_cv", keys)
     step("inner", rows, 2, keys)
-    outer = step("outer", rows, sizes["outer"], keys)
+    outer_ends = step("outer", rows, sizes["outer"], keys)
     if nested:
+        key = order_key("row_id", seed)
+        outer = rows.join(outer_ends, [*keys, "y"]).withColumn("f_outer", F.size(F.filter("ends", lambda e: e < key)))
         parts = outer.withColumn("held_out", F.explode(F.array(*[F.lit(f) for f in range(sizes["outer"])])))
-        step("inner", parts.where(F.col("held_out") != F.col("f_outer")), 2, [*keys, "held_out"])
+        parts = parts.where(F.col("held_out") != F.col("f_outer")).select("row_id", "y", *keys, "held_out")
+        step("inner", parts, 2, [*keys, "held_out"])
     return plan
 
 
