@@ -9,8 +9,8 @@ from cohortlens.catalog.base import query
 from cohortlens.operators.calibration import apply_isotonic, calibrated_mean, fit_isotonic
 from cohortlens.operators.cohort import derive
 from cohortlens.operators.metrics import (
-    CV_METRICS, EVALUATION_METRICS, classification_metrics, cv_summary, fold_scores, prevalence, reliability_curve,
-    roc_auc,
+    CV_METRICS, EVALUATION_METRICS, cv_summary, fold_scores, prevalence, reliability_curve, roc_auc, scorer_metrics,
+    subgroup_metrics as metrics_by_group,
 )
 from cohortlens.operators.selection import union_all
 from cohortlens.operators.split import inner_folds, split_train_test, stratified_folds
@@ -42,8 +42,8 @@ _MEMBERS = f"{S.SCORED}, {S.unpivot('scored')}, {S.member('long')}"
 WITH {_MEMBERS}, c AS (SELECT outcome, algorithm, attribute, grp, {S.COUNTS} FROM member GROUP BY ALL)
 SELECT outcome, algorithm, attribute, grp, n, tp, fp, fn, tn, {S.FOUR} FROM c""")
 def subgroup_metrics(spark, folder):
-    rows = with_membership(scored_long(spark, folder), C.ORDER_REGISTRY, whole=True)
-    return rounded(classification_metrics(rows, [*TAGS, *SCOPE], keep_counts=True), EVALUATION_METRICS)
+    out = scorer_metrics(C.scored_orders(spark, folder), C.ORDER_REGISTRY, ["y1", "y2"], C.SCORERS, keep_counts=True)
+    return rounded(out, EVALUATION_METRICS)
 
 
 @query("q_document_metrics", f"""
@@ -59,8 +59,7 @@ def document_metrics(spark, folder):
     df = derive(C.documents_cohort(spark, folder), C.DOCUMENT_SPEC)
     df = df.select("row_id", "lang", "source", "length_band", F.col("y1").alias("y"),
                    F.when(F.col("n_chars") < 500, 1).otherwise(0).alias("yhat"))
-    rows = with_membership(df, C.DOCUMENT_REGISTRY, whole=True)
-    return rounded(classification_metrics(rows, SCOPE, keep_counts=True), EVALUATION_METRICS)
+    return rounded(metrics_by_group(df, C.DOCUMENT_REGISTRY, [], keep_counts=True), EVALUATION_METRICS)
 
 
 _MACRO = ("balanced_accuracy", "precision_macro", "recall_macro")
@@ -70,8 +69,7 @@ _MACRO = ("balanced_accuracy", "precision_macro", "recall_macro")
 WITH {_MEMBERS}, c AS (SELECT outcome, algorithm, attribute, grp, {S.COUNTS} FROM member GROUP BY ALL)
 SELECT outcome, algorithm, attribute, grp, {', '.join(f'round({S.METRIC[m]}, 6) AS {m}' for m in _MACRO)} FROM c""")
 def macro_balanced(spark, folder):
-    rows = with_membership(scored_long(spark, folder), C.ORDER_REGISTRY, whole=True)
-    return rounded(classification_metrics(rows, [*TAGS, *SCOPE], metrics=_MACRO), _MACRO)
+    return rounded(scorer_metrics(C.scored_orders(spark, folder), C.ORDER_REGISTRY, ["y1", "y2"], C.SCORERS, _MACRO), _MACRO)
 
 
 @query("q_auc", f"""

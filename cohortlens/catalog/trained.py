@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog.base import query
 from cohortlens.operators.cohort import derive, feature_table, fit_cohort_levels
 from cohortlens.operators.features import assemble, impute
-from cohortlens.operators.metrics import EVALUATION_METRICS, classification_metrics, roc_auc
+from cohortlens.operators.metrics import EVALUATION_METRICS, roc_auc, subgroup_metrics
 from cohortlens.operators.models import ALGORITHMS, ModelSettings, algorithms, fit, score_all
 from cohortlens.operators.split import split_train_test
 from cohortlens.operators.subgroups import with_membership
@@ -51,7 +51,8 @@ def _single(name: str):
         scored = by_model(model.score(test).drop("features"), [name])
         rows = with_membership(scored, C.ORDER_REGISTRY, whole=True)
         keys = ["algorithm", "attribute", "grp"]
-        return classification_metrics(rows, keys, keep_counts=True).join(roc_auc(rows, keys), keys)
+        counts = subgroup_metrics(scored, C.ORDER_REGISTRY, ["algorithm"], keep_counts=True)
+        return counts.join(roc_auc(rows, keys), keys)
 
     return run
 

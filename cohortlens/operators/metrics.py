@@ -12,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.subgroups import Registry, member_pattern, spread_pattern
+from cohortlens.operators.votes import yhat_col
+
 EVALUATION_METRICS = ("accuracy", "f1", "precision", "recall")
+COUNTS = ("n", "tp", "fp", "fn", "tn")
 CV_METRICS = ("accuracy", "balanced_accuracy", "f1", "precision_macro", "recall_macro", "roc_auc")
 
 #: scikit-learn 1.0 widens the unit interval by this much before cutting it into bins (fixed value)
@@ -60,20 +64,67 @@ def metric_columns() -> dict[str, Column]:
     }
 
 
-def classification_metrics(
-    df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
-    metrics: Sequence[str] = EVALUATION_METRICS, keep_counts: bool = False,
-) -> DataFrame:
-    """One row per key with the named metrics."""
+def _with_metrics(counts: DataFrame, keys: Sequence[str], metrics: Sequence[str], keep_counts: bool) -> DataFrame:
     exprs = metric_columns()
     unknown = [m for m in metrics if m not in exprs]
     if unknown:
         raise ValueError(f"unknown metric(s) {unknown}; expected {sorted(exprs)}")
-    counts = confusion_counts(df, keys, y, yhat)
-    kept = ["n", "tp", "fp", "fn", "tn"] if keep_counts else []
+    kept = list(COUNTS) if keep_counts else []
     return counts.select(*keys, *kept, *[exprs[m].alias(m) for m in metrics])
 
 
+def classification_metrics(
+    df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
+    metrics: Sequence[str] = EVALUATION_METRICS, keep_counts: bool = False,
+) -> DataFrame:
+    """One row per key with the named metrics."""
+    return _with_metrics(confusion_counts(df, keys, y, yhat), keys, metrics, keep_counts)
+
+
+def subgroup_metrics(
+    df: DataFrame, registry: Registry, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
+    metrics: Sequence[str] = EVALUATION_METRICS, keep_counts: bool = False, attributes: Sequence[str] | None = None,
+) -> DataFrame:
+    """Metrics of everyone and of each subgroup: ``keys, attribute, grp, ...``.
+
+    Counts are formed per membership pattern and only then spread over the groups,
+    so rows are not multiplied by the number of groups they are in.
+    """
+    groups = registry.active(attributes)
+    counts = confusion_counts(df.withColumn("_in", member_pattern(groups)), [*keys, "_in"], y, yhat)
+    by = [*keys, "attribute", "grp"]
+    spread = spread_pattern(counts, groups, "_in").groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return _with_metrics(spread, by, metrics, keep_counts)
+
+
+def scorer_metrics(
+    df: DataFrame, registry: Registry, outcomes: Sequence[str], models: Sequence[str],
+    metrics: Sequence[str] = EVALUATION_METRICS, keep_counts: bool = False,
+) -> DataFrame:
+    """As :func:`subgroup_metrics` for wide rows with ``yhat__<model>``, all outcomes and models in one scan.
+
+    Every outcome and model has its own counters in one aggregate row per pattern; the
+    table is made long after that, so no input row is copied.
+    """
+    groups = registry.active()
+    cells = [(o, m) for o in outcomes for m in models]
+
+    def counters(o: str, m: str) -> list[Column]:
+        t, p = F.col(o), F.col(yhat_col(m))
+        return [F.count_if((t == a) & (p == b)).alias(f"{c}__{o}__{m}")
+                for c, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]
+
+    wide = df.groupBy(member_pattern(groups).alias("_in")).agg(
+        F.count(F.lit(1)).alias("n"), *[c for o, m in cells for c in counters(o, m)])
+    entries = F.array(*[
+        F.struct(F.lit(o).alias("outcome"), F.lit(m).alias("algorithm"), F.col("n"),
+                 *[F.col(f"{c}__{o}__{m}").alias(c) for c in COUNTS[1:]]) for o, m in cells
+    ])
+    long = spread_pattern(wide.select("_in", F.explode(entries).alias("_e")).select("_in", "_e.*"), groups, "_in")
+    by = ["outcome", "algorithm", "attribute", "grp"]
+    return _with_metrics(long.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS]), by, metrics, keep_counts)
+
+
 def _slice_of(score: Column, edges: Column, log2_slices: int) -> Column:
     """How many of the sorted ``2**log2_slices - 1`` edges are <= score, by bisection."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(log2_slices))])

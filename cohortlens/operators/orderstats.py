@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import small_or_distributed
+
 
 def values_at_ranks(
     df: DataFrame, keys: Sequence[str], order: str, targets: Column, group_info: DataFrame | None = None,
@@ -27,7 +29,7 @@ def values_at_ranks(
     ``_total``, the number of rows of the key. Returns ``keys, rank, value``.
     """
     keyed = df.select(*keys, F.col(order).alias("_o"), F.substring(order, 1, prefix_chars).alias("_b"))
-    part = [F.col(k) for k in keys] or [F.lit(1)]
+    part = [F.col(k) for k in keys] or [F.lit(1)]  # without keys: one row per bucket, not per row
     up_to = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*part)
     hist = keyed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -41,6 +43,8 @@ def values_at_ranks(
                 (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_inside"))
         .groupBy(*keys, "_b").agg(F.collect_set(F.struct("_inside", "rank")).alias("_wanted"))
     )
+    # one row per cut: fetched, so that all other rows are dropped without being shuffled
+    wanted = small_or_distributed(wanted)
     number = F.row_number().over(Window.partitionBy(*part, "_b").orderBy("_o"))
     return (
         keyed.join(wanted, [*keys, "_b"])

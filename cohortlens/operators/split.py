@@ -75,7 +75,7 @@ def fold_ends(
         F.sequence(F.lit(1), F.col("_k") - 1), lambda i: (dealt(stop, i) - dealt(start, i)).cast("long")
     ))
     # an empty first fold of a tiny class ends before its first row: no rank to look up
-    found = values_at_ranks(ordered, by, "_o", F.filter("_ends", lambda e: e > 0), targets.select(*by, "_ends"))
+    found = values_at_ranks(ordered, by, "_o", F.filter("_ends", lambda e: e > 0), targets.select(*by, "_ends"), prefix_chars=3)
     by_rank = found.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("_at"))
     return targets.join(by_rank, by, "left").select(
         *by, F.transform("_ends", lambda e: F.coalesce(F.try_element_at("_at", e), F.lit(""))).alias("ends"),

@@ -76,6 +76,27 @@ def membership_column(groups: Iterable[Subgroup], whole: bool = False) -> Column
     return F.array_compact(F.array(*items))
 
 
+def member_pattern(groups: Iterable[Subgroup]) -> Column:
+    """Text of one digit per group, 1 where the row belongs to it.
+
+    There are far fewer patterns than rows, so sums can be formed per pattern first
+    and spread over the groups afterwards.
+    """
+    return F.concat(*[F.when(g.column(), "1").otherwise("0") for g in groups])
+
+
+def spread_pattern(df: DataFrame, groups: Iterable[Subgroup], pattern: str, whole: bool = True) -> DataFrame:
+    """Replace the pattern column by one row per group it names, and one for everyone."""
+    items = [F.struct(F.lit(ALL).alias("attribute"), F.lit(ALL).alias("grp"))] if whole else []
+    items += [
+        F.when(F.substring(pattern, i + 1, 1) == "1",
+               F.struct(F.lit(g.attribute).alias("attribute"), F.lit(g.name).alias("grp")))
+        for i, g in enumerate(groups)
+    ]
+    spread = df.withColumn("_member", F.explode(F.array_compact(F.array(*items))))
+    return spread.select(*[c for c in df.columns if c != pattern], "_member.attribute", "_member.grp")
+
+
 def with_membership(
     df: DataFrame, registry: Registry, whole: bool = False, attributes: Iterable[str] | None = None,
     with_disabled: bool = False,

@@ -12,9 +12,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.metrics import EVALUATION_METRICS, classification_metrics, cv_summary, cv_wide, fold_scores
+from cohortlens.operators.metrics import (
+    EVALUATION_METRICS, classification_metrics, cv_summary, cv_wide, fold_scores, subgroup_metrics,
+)
 from cohortlens.operators.selection import SELECTION_METRIC, best_models, drop_repeats, union_all
-from cohortlens.operators.subgroups import ALL, Registry, with_membership
+from cohortlens.operators.subgroups import ALL, Registry
 from cohortlens.operators.votes import p_col, yhat_col
 
 STRATEGIES = ("one_for_all", "one_per_group", "ensemble_on_all", "ensemble_on_group")
@@ -66,8 +68,7 @@ def one_for_all(predictions: DataFrame, best: DataFrame, registry: Registry) ->
     ``best``: ``outcome, algorithm``. Only its predictions go on to the aggregate.
     """
     chosen = predictions.join(best.select("outcome", "algorithm"), ["outcome", "algorithm"])
-    keys = ["outcome", "calibration", "attribute", "grp"]
-    return _named(classification_metrics(with_membership(chosen, registry, whole=True), keys), "one_for_all")
+    return _named(subgroup_metrics(chosen, registry, ["outcome", "calibration"]), "one_for_all")
 
 
 def one_per_group(predictions: DataFrame, best: DataFrame) -> DataFrame:
@@ -81,12 +82,9 @@ def one_per_group(predictions: DataFrame, best: DataFrame) -> DataFrame:
 
 def ensemble_on_all(votes: DataFrame, registry: Registry, vote: str = "hard") -> DataFrame:
     """Ensembles of the whole population, on everyone and on the groups of their own attribute."""
-    keys = ["outcome", "ensemble", "attribute", "grp"]
-    member = with_membership(votes, registry, whole=True).where(
-        (F.col("attribute") == ALL) | (F.col("attribute") == F.col("ensemble"))
-    )
-    scores = classification_metrics(member, keys, yhat=f"yhat_{vote}")
-    return _named(scores, "ensemble_on_all", F.lit("raw"))
+    scores = subgroup_metrics(votes, registry, ["outcome", "ensemble"], yhat=f"yhat_{vote}")
+    own = scores.where((F.col("attribute") == ALL) | (F.col("attribute") == F.col("ensemble")))
+    return _named(own, "ensemble_on_all", F.lit("raw"))
 
 
 def ensemble_on_group(votes: DataFrame, vote: str = "hard") -> DataFrame:
