@@ -14,7 +14,8 @@ from cohortlens.catalog.scored import KEEP, rounded
 from cohortlens.operators.calibration import apply_isotonic, calibrated_mean, fit_isotonic
 from cohortlens.operators.metrics import EVALUATION_METRICS, highest
 from cohortlens.operators.selection import SELECTION_METRIC, best_models, ranked_models, runners_up, union_all
-from cohortlens.operators.split import inner_folds, split_train_test, stratified_folds
+from cohortlens.functions import order_key
+from cohortlens.operators.split import SPLIT_SEED, inner_folds, split_train_test, stratified_folds
 from cohortlens.operators.subgroups import ALL, with_membership
 from cohortlens.operators.votes import collect_weights, ensemble_members, member_weights, vote_table
 from cohortlens.plans import cohorts as C
@@ -94,7 +95,8 @@ evaluation AS (SELECT outcome, strategy, calibration, ensemble, attribute, grp,
 
 def prepared(spark, folder):
     """The scored cohort with its split, written once: everything below reads it several times."""
-    return materialize(split_train_test(C.scored_orders(spark, folder)), "scored", ("is_test",))
+    df = split_train_test(C.scored_orders(spark, folder)).withColumn("okey", order_key("row_id", SPLIT_SEED))
+    return materialize(df, "scored", ("is_test",))
 
 
 def scope_scores(study):
@@ -102,7 +104,7 @@ def scope_scores(study):
     rows = with_membership(read_split(study, "train"), C.ORDER_REGISTRY, whole=True)
     rows = E.by_outcome(rows, OUTCOMES).withColumn("k", F.when(F.col("attribute") == ALL, 3).otherwise(2))
     # a fold depends on the row and its label, not on the model: unpivot models afterwards
-    rows = stratified_folds(rows, "y", "k", SCOPES)
+    rows = stratified_folds(rows, "y", "k", SCOPES, order="okey")
     return small_or_distributed(E.scope_cv_scores(E.by_model(rows, C.SCORERS)))
 
 

@@ -14,16 +14,29 @@ from pyspark.sql import functions as F
 from cohortlens.session import small_or_distributed
 
 
+def bucket_counts(
+    df: DataFrame, keys: Sequence[str], order: str, prefix_chars: int, constant: Sequence[str] = ()
+) -> DataFrame:
+    """Rows per key and bucket: ``keys, _b, _n, _first`` and columns constant within a key.
+
+    ``order`` is a text column of evenly spread hexadecimal digits (see ``order_key``),
+    so its first characters cut the rows of a key into equal buckets. ``_first`` is the
+    smallest key as a number (its first 60 bits): a minimum of text would make Spark
+    sort the rows instead of hashing them.
+    """
+    number = F.conv(F.substring(order, 1, 15), 16, 10).cast("long")
+    return df.groupBy(*keys, F.substring(order, 1, prefix_chars).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(number).alias("_first"), *[F.max(c).alias(c) for c in constant])
+
+
 def values_at_ranks(
-    df: DataFrame, keys: Sequence[str], order: str, targets: Column, group_info: DataFrame | None = None,
-    prefix_chars: int = 4,
+    df: DataFrame, keys: Sequence[str], order: str, targets: Column, prefix_chars: int, hist: DataFrame,
+    group_info: DataFrame | None = None,
 ) -> DataFrame:
     """Per key, the ``order`` text found at each 1-based rank of the array ``targets``.
 
-    ``order`` is a text column of evenly spread hexadecimal digits (see
-    ``order_key``), so its first characters cut the rows into equal buckets: 16 to
-    the power ``prefix_chars``. One aggregate counts the buckets; the bucket that
-    holds a wanted rank is then the only one whose rows are numbered.
+    ``hist`` (:func:`bucket_counts`) says which bucket holds a wanted rank; only the
+    rows of those buckets are numbered, all others are dropped where they are read.
 
     ``targets`` may use the columns of ``group_info`` (joined on ``keys``) and
     ``_total``, the number of rows of the key. Returns ``keys, rank, value``.
@@ -32,7 +45,7 @@ def values_at_ranks(
     part = [F.col(k) for k in keys] or [F.lit(1)]  # without keys: one row per bucket, not per row
     up_to = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*part)
-    hist = keyed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    hist = hist.select(*keys, "_b", "_n")
     hist = hist.withColumn("_upto", F.sum("_n").over(up_to)).withColumn("_total", F.sum("_n").over(whole))
     if group_info is not None:
         hist = hist.join(group_info, list(keys))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.order import hash_share, order_key
-from cohortlens.operators.orderstats import values_at_ranks
+from cohortlens.operators.orderstats import bucket_counts, values_at_ranks
 from cohortlens.session import small_or_distributed
 
 TEST_SHARE = 0.33
@@ -35,20 +35,27 @@ def split_train_test(
         return df.withColumn("is_test", hash_share(row_id, seed, _HASH_PARTS) < math.ceil(test_share * _HASH_PARTS))
     if mode != "exact":
         raise ValueError("mode is 'exact' or 'hash'")
-    keys = df.select(order_key(row_id, seed).alias("_o"))
-    last = values_at_ranks(keys, [], "_o", F.array(F.ceil(F.lit(test_share) * F.col("_total")).cast("long")))
+    keyed = df.select(order_key(row_id, seed).alias("_o"))
+    target = F.array(F.ceil(F.lit(test_share) * F.col("_total")).cast("long"))
+    last = values_at_ranks(keyed, [], "_o", target, 4, bucket_counts(keyed, [], "_o", 4))
     row = last.first()  # one row; an empty frame has none
     return df.withColumn("is_test", order_key(row_id, seed) <= F.lit(row["value"] if row else ""))
 
 
+#: 4096 buckets per key and class
+_FOLD_PREFIX = 3
+
+
 def fold_ends(
-    df: DataFrame, label: str, k: int | str, keys: Sequence[str] = (), row_id: str = "row_id", seed: int = SPLIT_SEED
+    df: DataFrame, label: str, k: int | str, keys: Sequence[str] = (), row_id: str = "row_id", seed: int = SPLIT_SEED,
+    order: str | None = None,
 ) -> DataFrame:
     """Last order key of folds 0..k-2 per key and class: ``keys, label, ends, rows_up_to``.
 
     ``rows_up_to`` counts the rows of folds 0, 0..1, ..., all, so fold sizes need no extra pass.
 
-    ``k`` is a number, or the name of a column that is constant within ``keys``.
+    ``k`` is a number, or the name of a column that is constant within ``keys``;
+    ``order`` names a column that already holds the order key.
 
     Fold sizes follow the usual stratified rule: deal the rows, sorted by class,
     round robin to the folds and count. Class sizes per fold then differ by at most
@@ -58,11 +65,11 @@ def fold_ends(
         raise ValueError("k must be at least 2")
     by = [*keys, label]
     folds = F.col(k) if isinstance(k, str) else F.lit(k)
-    ordered = df.select(*by, order_key(row_id, seed).alias("_o"), folds.alias("_k"))
-    classes = ordered.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_nc"), F.min("_o").alias("_first"), F.max("_k").alias("_k"))
+    ordered = df.select(*by, (F.col(order) if order else order_key(row_id, seed)).alias("_o"), folds.alias("_k"))
+    hist = bucket_counts(ordered, by, "_o", _FOLD_PREFIX, ["_k"])
+    classes = hist.groupBy(*by).agg(F.sum("_n").alias("_nc"), F.min("_first").alias("_first"), F.max("_k").alias("_k"))
     earlier = (
-        Window.partitionBy(*(list(keys) or [F.lit(1)])).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*(list(keys) or [F.lit(1)])).orderBy("_first", label).rowsBetween(Window.unboundedPreceding, -1)
     )
     info = classes.select(*by, "_k", "_nc", F.coalesce(F.sum("_nc").over(earlier), F.lit(0)).alias("_start"))
 
@@ -75,7 +82,8 @@ def fold_ends(
         F.sequence(F.lit(1), F.col("_k") - 1), lambda i: (dealt(stop, i) - dealt(start, i)).cast("long")
     ))
     # an empty first fold of a tiny class ends before its first row: no rank to look up
-    found = values_at_ranks(ordered, by, "_o", F.filter("_ends", lambda e: e > 0), targets.select(*by, "_ends"), prefix_chars=3)
+    found = values_at_ranks(ordered, by, "_o", F.filter("_ends", lambda e: e > 0), _FOLD_PREFIX, hist,
+                            targets.select(*by, "_ends"))
     by_rank = found.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("_at"))
     return targets.join(by_rank, by, "left").select(
         *by, F.transform("_ends", lambda e: F.coalesce(F.try_element_at("_at", e), F.lit(""))).alias("ends"),
@@ -85,19 +93,22 @@ def fold_ends(
 
 def stratified_folds(
     df: DataFrame, label: str, k: int | str, keys: Sequence[str] = (), row_id: str = "row_id",
-    seed: int = SPLIT_SEED, fold: str = "fold", mode: str = "exact",
+    seed: int = SPLIT_SEED, fold: str = "fold", mode: str = "exact", order: str | None = None,
 ) -> DataFrame:
-    """Add a fold number 0..k-1, stratified by ``label`` within ``keys``."""
+    """Add a fold number 0..k-1, stratified by ``label`` within ``keys``.
+
+    Rows that were multiplied before (by group, by outcome) should carry their order key in ``order``.
+    """
     if mode == "hash":
         return df.withColumn(fold, hash_share(row_id, seed + 1, k))
     if mode != "exact":
         raise ValueError("mode is 'exact' or 'hash'")
-    ends = small_or_distributed(fold_ends(df, label, k, keys, row_id, seed).drop("rows_up_to"))
-    by = [*keys, label]
-    mine = order_key(row_id, seed)
+    ends = small_or_distributed(fold_ends(df, label, k, keys, row_id, seed, order).drop("rows_up_to"))
+    # the key is a column below the join, so that it is computed once per row and not once per comparison
+    keyed = df.withColumn("_key", F.col(order) if order else order_key(row_id, seed))
     return (
-        df.join(ends, by)
-        .withColumn(fold, F.size(F.filter("ends", lambda e: e < mine)))
+        keyed.join(ends, [*keys, label])
+        .withColumn(fold, F.size(F.filter("ends", lambda e: e < F.col("_key"))))
         .select(*df.columns, fold)
     )
 

@@ -17,7 +17,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.order import order_key
 from cohortlens.operators.features import assemble, filled
 from cohortlens.operators.models import Algorithm, Fitted, ModelSettings, fit, score_all, score_col
 from cohortlens.operators.split import fold_ends
@@ -88,14 +87,17 @@ class FoldPlan:
 def _labelled_members(train: DataFrame, registry: Registry, outcomes: Sequence[str], attributes) -> DataFrame:
     groups = with_membership(train, registry, whole=True, attributes=attributes)
     entries = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in outcomes])
-    return groups.withColumn("_e", F.explode(entries)).select("row_id", "attribute", "grp", "_e.outcome", "_e.y")
+    return groups.withColumn("_e", F.explode(entries)).select("okey", "attribute", "grp", "_e.outcome", "_e.y")
 
 
 def plan_folds(
     train: DataFrame, registry: Registry, outcomes: Sequence[str], sizes: Mapping[str, int], seed: int,
     attributes: Sequence[str] | None = None, nested: bool = True,
 ) -> FoldPlan:
-    """Find all fold ends: ``cv`` folds, ``outer`` folds of the calibrated CV, ``inner`` halves of both."""
+    """Find all fold ends: ``cv`` folds, ``outer`` folds of the calibrated CV, ``inner`` halves of both.
+
+    ``train`` carries the order key as ``okey``.
+    """
     plan = FoldPlan(sizes)
     keys = ["attribute", "grp", "outcome"]
     rows = _labelled_members(train, registry, outcomes, attributes).withColumn(
@@ -103,7 +105,7 @@ def plan_folds(
 
     def step(name: str, df: DataFrame, k: int | str, by: list[str]) -> DataFrame:
         """Fetch the ends of all scopes in one go; return them as a small table."""
-        ends = fold_ends(df, "y", k, by, seed=seed).toArrow()
+        ends = fold_ends(df, "y", k, by, seed=seed, order="okey").toArrow()
         for r in ends.to_pylist():
             at = (name, r["attribute"], r["grp"], r["outcome"], r.get("held_out", -1))
             plan.ends.setdefault(at, {})[r["y"]] = r["ends"]
@@ -116,10 +118,10 @@ def plan_folds(
     step("inner", rows, 2, keys)
     outer_ends = step("outer", rows, sizes["outer"], keys)
     if nested:
-        key = order_key("row_id", seed)
-        outer = rows.join(outer_ends, [*keys, "y"]).withColumn("f_outer", F.size(F.filter("ends", lambda e: e < key)))
+        outer = rows.join(outer_ends, [*keys, "y"]).withColumn(
+            "f_outer", F.size(F.filter("ends", lambda e: e < F.col("okey"))))
         parts = outer.withColumn("held_out", F.explode(F.array(*[F.lit(f) for f in range(sizes["outer"])])))
-        parts = parts.where(F.col("held_out") != F.col("f_outer")).select("row_id", "y", *keys, "held_out")
+        parts = parts.where(F.col("held_out") != F.col("f_outer")).select("okey", "y", *keys, "held_out")
         step("inner", parts, 2, [*keys, "held_out"])
     return plan
 
@@ -136,12 +138,11 @@ class ScopeScores:
 
 
 def vectors(
-    df: DataFrame, features: Sequence[str], numeric: Sequence[str], fill: Mapping[str, float], seed: int,
-    keep: Sequence[str],
+    df: DataFrame, features: Sequence[str], numeric: Sequence[str], fill: Mapping[str, float], keep: Sequence[str],
 ) -> DataFrame:
     """Imputed feature vectors with the order key. ``fill`` was fitted on the scope's training rows."""
     imputed = dict(zip(numeric, filled(numeric, fill)))
-    wide = df.select(*keep, order_key("row_id", seed).alias("okey"), *[imputed.get(c, F.col(c)) for c in features])
+    wide = df.select(*keep, "okey", *[imputed.get(c, F.col(c)) for c in features])
     return assemble(wide, features).select(*keep, "okey", "features")
 
 

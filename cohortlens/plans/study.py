@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.encode import slug
+from cohortlens.functions.order import order_key
 from cohortlens.operators.calibration import apply_calibrators, fit_calibrators
 from cohortlens.operators.cohort import CohortSpec, derive, feature_table, fit_cohort_levels
 from cohortlens.operators.features import fit_fill_values
@@ -87,7 +88,7 @@ class Study:
     def vectors(self, scope: Scope, part: str) -> DataFrame:
         keep = ["row_id", *self.outcomes, *self.carry]
         rows = scope.rows(read_split(self.table, part))
-        return vectors(rows, self.features, self.numeric, self.fill[scope.key], self.spec.seed, keep)
+        return vectors(rows, self.features, self.numeric, self.fill[scope.key], keep)
 
     def labelled(self, df: DataFrame, outcome: str, keep: Sequence[str] = ()) -> DataFrame:
         return df.select("row_id", F.col(outcome).alias("y"), *keep, "okey", "features")
@@ -98,7 +99,8 @@ def prepare(df: DataFrame, spec: StudySpec, store: ResultStore | None = None) ->
     store = store or ResultStore(df.sparkSession, new_folder(df.sparkSession, "study"))
     derived = derive(df, spec.cohort)
     table, features = feature_table(derived, spec.cohort, fit_cohort_levels(derived, spec.cohort))
-    table = store.write("split", split_train_test(table, test_share=spec.test_share, seed=spec.seed))
+    table = split_train_test(table, test_share=spec.test_share, seed=spec.seed)
+    table = store.write("split", table.withColumn("okey", order_key("row_id", spec.seed)))
     train = read_split(table, "train")
     numeric = [slug(c) for c in spec.cohort.numeric]
     members = with_membership(train, spec.registry, whole=True, attributes=spec.attributes)
