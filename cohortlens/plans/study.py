@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -75,6 +76,8 @@ class Study:
     plan: FoldPlan
     scopes: list[Scope]
     algos: list[Algorithm]
+    #: scores of this run only, so that a repeated study does not add to an earlier one's
+    work: str
     final: dict[tuple, Fitted] = field(default_factory=dict)
 
     @property
@@ -110,16 +113,17 @@ def prepare(df: DataFrame, spec: StudySpec, store: ResultStore | None = None) ->
     fill = {(r["attribute"], r["grp"]): {c: r[c] for c in numeric} for r in rows}
     # a group without training rows has nothing to train on
     scopes = [s for s in scopes_of(spec.registry, spec.attributes) if s.key in fill]
-    return Study(spec, store, table, features, numeric, fill, plan, scopes, algorithms(spec.algorithms))
+    work = f"{store.root.rstrip('/')}/work/{uuid.uuid4().hex[:12]}"
+    return Study(spec, store, table, features, numeric, fill, plan, scopes, algorithms(spec.algorithms), work)
 
 
 def _append(study: Study, name: str, df: DataFrame | None) -> None:
     if df is not None:
-        df.write.mode("append").partitionBy("attribute", "grp", "outcome").parquet(f"{study.store.root}/work/{name}")
+        df.write.mode("append").partitionBy("attribute", "grp", "outcome").parquet(f"{study.work}/{name}")
 
 
 def _work(study: Study, name: str) -> DataFrame:
-    df = study.store.spark.read.parquet(f"{study.store.root}/work/{name}")
+    df = study.store.spark.read.parquet(f"{study.work}/{name}")
     return df.withColumns({c: F.col(c).cast("string") for c in ("attribute", "grp", "outcome")})
 
 
