@@ -89,9 +89,9 @@ def exact_medians(
         F.struct(F.lit(i).alias("_c"), F.get(f"_k_{i}", F.lit(0)).alias("_lo"), F.get(f"_k_{i}", F.lit(1)).alias("_hi"))
         for i in range(len(columns))
     ]).alias("_brackets"))
-    # without keys the bracket row is a scalar; with keys it is a small table joined on them
+    # one row per key, fetched: with a known size the join needs no shuffle of the rows by key
     if keys:
-        joined = df.join(brackets, keys)
+        joined = df.join(small_or_distributed(brackets), keys)
         bracket = F.col("_brackets")
     else:
         joined = df
