@@ -15,7 +15,7 @@ CHEAP = ["q_bucket_rules", "q_feature_table", "q_split", "q_median_impute", "q_s
 
 def test_names():
     assert set(oracle_sql()) <= set(queries())
-    assert all(name.startswith(("q_", "m_")) for name in queries())
+    assert all(name.startswith(("q_", "m_", "op")) or name == "pipeline" for name in queries())
     assert all(name in oracle_sql() for name in queries() if name.startswith("q_"))
 
 
