@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.quality import score_quality
+from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tables import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -25,3 +26,9 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learned from the labels outside the held-out fifth."""
     scored = score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document and the component of near-duplicates it belongs to."""
+    return near_duplicates(table(spark, folder, "documents"), width=3)
