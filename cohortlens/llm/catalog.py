@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.mixing import mix_sources
 from cohortlens.llm.quality import score_quality
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tables import table
@@ -32,3 +33,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document and the component of near-duplicates it belongs to."""
     return near_duplicates(table(spark, folder, "documents"), width=3)
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix by source weights takes from every document."""
+    mixed = mix_sources(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
