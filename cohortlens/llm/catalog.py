@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.mixing import mix_sources
+from cohortlens.llm.ngrams import score_by_model
 from cohortlens.llm.quality import score_quality
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tables import table
@@ -40,3 +41,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix by source weights takes from every document."""
     mixed = mix_sources(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document by a bigram model and by its unigram base."""
+    return score_by_model(table(spark, folder, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
