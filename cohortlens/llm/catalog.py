@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.mixing import mix_sources
 from cohortlens.llm.ngrams import score_by_model
 from cohortlens.llm.quality import score_quality
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tables import table
+from cohortlens.llm.urls import judge_urls
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -48,3 +50,15 @@ def op2_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document by a bigram model and by its unigram base."""
     return score_by_model(table(spark, folder, "documents")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+@query
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return judge_urls(table(spark, folder, "pages"))
