@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.imatch import fingerprint_documents
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.mixing import mix_sources
 from cohortlens.llm.ngrams import score_by_model
@@ -62,3 +63,9 @@ def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on the URL of every page."""
     return judge_urls(table(spark, folder, "pages"))
+
+
+@query
+def op7_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_documents(table(spark, folder, "documents"))
