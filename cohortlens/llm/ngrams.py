@@ -128,10 +128,12 @@ class Settings:
     #: probes of a Bloom query, and bits for an entry; a miss is taken for a hit in about 1 of 100 cases
     probes: int = 4
     bits: int = 10
-    segment_words: int = 6_000_000
-    segment_pairs: int = 24_000_000
+    segment_words: int = 2_000_000
+    segment_pairs: int = 8_000_000
     #: pairs of one block of the filter; a block is built by one task
     block_pairs: int = 32_768
+    #: tokens that are looked up together
+    group_tokens: int = 400_000
 
 
 def _level_down(n: np.ndarray, s: Settings) -> np.ndarray:
@@ -353,7 +355,7 @@ def score_texts(docs: DataFrame, text: str, model: Model, id_column: str = "doc_
                 held.append(Tokens(t.word, t.history, t.owner + (b.first - first)))
                 size += len(t.word)
                 last = b.last
-                if size >= 1_000_000:
+                if size >= s.group_tokens:
                     columns.append(score_group(held, last - first))
                     held, size, first = [], 0, last
             if held:
