@@ -11,6 +11,7 @@ from cohortlens.llm.imatch import fingerprint_documents
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.mixing import mix_sources
 from cohortlens.llm.ngrams import score_by_model
+from cohortlens.llm.pii import find_private
 from cohortlens.llm.quality import score_quality
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tables import table
@@ -69,3 +70,9 @@ def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
 def op7_imatch(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query
+def op8_private(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return find_private(table(spark, folder, "documents"))
