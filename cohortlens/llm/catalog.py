@@ -11,6 +11,7 @@ from cohortlens.llm.imatch import fingerprint_documents
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.mixing import mix_sources
 from cohortlens.llm.ngrams import score_by_model
+from cohortlens.llm.packing import plan_packing
 from cohortlens.llm.pii import find_private
 from cohortlens.llm.quality import score_quality
 from cohortlens.llm.simhash import near_duplicates
@@ -76,3 +77,9 @@ def op7_imatch(spark: SparkSession, folder: str) -> DataFrame:
 def op8_private(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     return find_private(table(spark, folder, "documents"))
+
+
+@query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of 2,048 words that hold all documents."""
+    return plan_packing(table(spark, folder, "documents"))
