@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.imatch import fingerprint_documents
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.mixing import mix_sources
+from cohortlens.llm.neighbours import nearest_neighbours
 from cohortlens.llm.ngrams import score_by_model
 from cohortlens.llm.packing import plan_packing
 from cohortlens.llm.pii import find_private
@@ -83,3 +84,9 @@ def op8_private(spark: SparkSession, folder: str) -> DataFrame:
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 2,048 words that hold all documents."""
     return plan_packing(table(spark, folder, "documents"))
+
+
+@query
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest vectors of every twentieth one."""
+    return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
