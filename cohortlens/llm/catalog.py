@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortlens.llm.imatch import fingerprint_documents
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.mixing import mix_sources
@@ -90,3 +91,8 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest vectors of every twentieth one."""
     return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

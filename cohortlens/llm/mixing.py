@@ -139,3 +139,29 @@ def mix_sources(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text
     return rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select(
         F.col("r.id").alias(id_column), F.col("r.size").alias("size"), F.col("p.source_size").alias("source_size"),
         F.col("p.target").alias("target"), (F.col("r.size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+
+
+def repeat_mixed(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    How often follows from a row's own source and hash, so texts are neither moved nor joined by id.
+    """
+    size, key, weight, number = (free_name(docs, f"mixing_{x}") for x in ("size", "hash", "plan", "turn"))
+    measured = materialize(measure(docs, id_column, text, source), "sizes")
+    targets = materialize(source_targets(measured, **settings), "targets")
+    plan = materialize(targets.select("source").join(thresholds(measured, targets).withColumnRenamed("source", "s"),
+                                                     F.col("source").eqNullSafe(F.col("s"))).select("source", "copies", "bound"), "plan")
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
+    salted = docs.withColumn(weight, F.xxhash64(F.col(id_column)))
+    names = docs.columns
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = mix(hash_texts(batch.column(text)) ^ mix(batch.column(weight).to_numpy().view(np.uint64))) >> np.uint64(64 - HASH_BITS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(h.astype(np.int64))], names=[*names, key])
+
+    marked = salted.mapInArrow(mark, schema)
+    named = plan.select(F.col("source").alias(weight), F.col("copies").alias(size), F.col("bound").alias(number))
+    taken = F.coalesce(F.col(size), F.lit(0)) + F.when(F.col(key) < F.col(number), 1).otherwise(0)
+    joined = marked.join(named, F.col(source).eqNullSafe(F.col(weight)))
+    return joined.withColumn(number, F.explode(F.array_repeat(F.lit(1), taken.cast("int")))).select(*names)
