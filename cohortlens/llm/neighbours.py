@@ -102,6 +102,8 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 4096) -> Ite
 
 def _best_of_each(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` largest different ``other`` of each ``owner``."""
+    if not len(owner):
+        return np.zeros(0, np.int64)
     o = np.lexsort((-sim, other, owner))
     first = np.r_[True, (owner[o][1:] != owner[o][:-1]) | (other[o][1:] != other[o][:-1])]
     o = o[first]
@@ -177,8 +179,8 @@ def _merge(graph: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             was = np.arange(len(owner)) < old.sum()
             # what is on the list comes first among equals, so that it isn't taken for fresh
             o = np.lexsort((~was, other, owner))
-            first = np.r_[True, (owner[o][1:] != owner[o][:-1]) | (other[o][1:] != other[o][:-1])] if len(o) else np.zeros(0, bool)
-            o = o[first]
+            if len(o):
+                o = o[np.r_[True, (owner[o][1:] != owner[o][:-1]) | (other[o][1:] != other[o][:-1])]]
             own_id = batch.column("id").to_numpy()[owner[o]]
             o = o[other[o] != own_id]
             o = o[np.lexsort((other[o], -sim[o], owner[o]))]
