@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog import sql as S
 from cohortlens.catalog.base import query
-from cohortlens.operators.calibration import apply_isotonic, calibrated_mean, fit_isotonic
+from cohortlens.operators.calibration import apply_calibrators, apply_isotonic, fit_calibrators, fit_isotonic
 from cohortlens.operators.cohort import derive
 from cohortlens.operators.metrics import (
     CV_METRICS, EVALUATION_METRICS, cv_summary, fold_scores, prevalence, reliability_curve, roc_auc, scorer_metrics,
@@ -183,10 +183,10 @@ def calibrated(spark, folder):
     fit_rows = inner_folds(
         long_by_outcome(read_split(df, "train"), ["y1", "y2"], ["a"], ["row_id"]), "y", ["outcome"])
     test = long_by_outcome(read_split(df, "test"), ["y1", "y2"], ["a"], ["row_id"]).select(
-        "row_id", "outcome", F.col("p").alias("score"), F.explode(F.array(F.lit(0), F.lit(1))).alias("inner"))
-    keys = ["outcome", "inner"]
-    scored = apply_isotonic(test, fit_isotonic(fit_rows, keys, score="p"), keys)
-    return rounded(calibrated_mean(scored, ["row_id", "outcome"]), ["p"])
+        "row_id", "outcome", F.col("p").alias("s0"), F.col("p").alias("s1"))
+    fitted = fit_calibrators(fit_rows.withColumnRenamed("p", "score"), ["outcome"], ["isotonic"])
+    scored = apply_calibrators(test, fitted, ["outcome"], ["s0", "s1"], ["isotonic"])
+    return rounded(scored.select("row_id", "outcome", "p", "yhat"), ["p"])
 
 
 # --- votes ----------------------------------------------------------------

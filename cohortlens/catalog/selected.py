@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog import sql as S
 from cohortlens.catalog.base import query
 from cohortlens.catalog.scored import KEEP, rounded
-from cohortlens.operators.calibration import apply_isotonic, calibrated_mean, fit_isotonic
+from cohortlens.operators.calibration import apply_calibrators, fit_calibrators
 from cohortlens.operators.metrics import EVALUATION_METRICS, highest
 from cohortlens.operators.selection import SELECTION_METRIC, best_models, ranked_models, runners_up, union_all
 from cohortlens.functions import order_key
@@ -21,7 +21,7 @@ from cohortlens.operators.votes import collect_weights, ensemble_members, member
 from cohortlens.plans import cohorts as C
 from cohortlens.plans import evaluation as E
 from cohortlens.plans import reports as R
-from cohortlens.session import materialize, new_folder, small_or_distributed
+from cohortlens.session import materialize, new_folder, settled
 from cohortlens.sources import ResultStore, read_split
 
 OUTCOMES = ["y1", "y2"]
@@ -105,7 +105,7 @@ def scope_scores(study):
     rows = E.by_outcome(rows, OUTCOMES).withColumn("k", F.when(F.col("attribute") == ALL, 3).otherwise(2))
     # a fold depends on the row and its label, not on the model: unpivot models afterwards
     rows = stratified_folds(rows, "y", "k", SCOPES, order="okey")
-    return small_or_distributed(E.scope_cv_scores(E.by_model(rows, C.SCORERS)))
+    return settled(E.scope_cv_scores(E.by_model(rows, C.SCORERS)))
 
 
 def test_long(study):
@@ -140,14 +140,14 @@ def shared_predictions(study, scores):
     best = overall_best(scores).select("outcome", "algorithm")
     test = test_long(study).join(best, ["outcome", "algorithm"])
     train = E.long_by_outcome(read_split(study, "train"), OUTCOMES, C.SCORERS, KEEP).join(best, ["outcome", "algorithm"])
-    keys = ["outcome", "inner"]
-    fitted = fit_isotonic(inner_folds(train, "y", ["outcome"]), keys, score="p")
-    doubled = test.withColumns({"score": F.col("p"), "inner": F.explode(F.array(F.lit(0), F.lit(1)))}).drop("p", "yhat")
+    halves = inner_folds(train, "y", ["outcome"]).withColumnRenamed("p", "score")
+    fitted = fit_calibrators(halves, ["outcome"], ["isotonic"])
+    doubled = test.withColumns({"s0": F.col("p"), "s1": F.col("p")}).drop("p", "yhat")
     rows = [*KEEP, "outcome", "algorithm", "y"]
-    again = calibrated_mean(apply_isotonic(doubled, fitted, keys), rows)
+    again = apply_calibrators(doubled, fitted, ["outcome"], ["s0", "s1"], ["isotonic"])
     return union_all([
         test.select(*rows, "p", "yhat").withColumn("calibration", F.lit("raw")),
-        again.withColumn("calibration", F.lit("isotonic")),
+        again.select(*rows, "p", "yhat", "calibration"),
     ])
 
 
@@ -258,7 +258,7 @@ def union_dedupe(spark, folder):
     rows = evaluation(spark, folder).where(F.col("strategy").isin("one_for_all", "one_per_group") & (F.col("calibration") == "raw"))
     rows = rounded(rows.select("outcome", "attribute", "grp", "accuracy",
                                F.when(F.col("strategy") == "one_for_all", 1).otherwise(2).alias("part")), ["accuracy"])
-    rows = small_or_distributed(rows)
+    rows = settled(rows)
     again = rows.where(F.col("attribute") == ALL).withColumn("part", F.col("part") + 2)
     return drop_repeats(union_all([rows, again]), "part")
 

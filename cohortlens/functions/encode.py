@@ -19,12 +19,12 @@ def _tokens(col: str, sep: str | None) -> Column:
 
 
 def fit_levels(
-    df: DataFrame, columns: Sequence[str], sep: str | None = None, max_levels: int = 1000
+    df: DataFrame, columns: Sequence[str], sep: str | None = None, max_levels: int | None = None
 ) -> dict[str, list[str]]:
     """Sorted levels per column, found in one pass.
 
-    With ``sep`` a cell may hold several levels. Levels become table columns, so
-    more than ``max_levels`` of them is an error rather than a silent cut.
+    With ``sep`` a cell may hold several levels. Levels become table columns; a caller
+    that wants no more than ``max_levels`` of them gets an error, never a silent cut.
     """
     def named(column: str) -> Column:
         pairs = F.transform(
@@ -38,17 +38,32 @@ def fit_levels(
         df.select(F.explode(pairs).alias("e")).select("e.name", "e.level")
         .where("level is not null and level <> ''").distinct()
     )
-    rows = found.take(max_levels * len(columns) + 1)
+    rows = found.collect() if max_levels is None else found.take(max_levels * len(columns) + 1)
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for row in rows:
         levels[row["name"]].append(row["level"])
     for name, values in levels.items():
-        if len(values) > max_levels:
+        if max_levels is not None and len(values) > max_levels:
             raise ValueError(f"column {name} has more than {max_levels} levels")
         values.sort()
     return levels
 
 
+def level_names(column: str, levels: Sequence[str]) -> dict[str, str]:
+    """Column name of each level. Levels that differ only in signs get a number behind the name, in order."""
+    names: dict[str, str] = {}
+    taken: set[str] = set()
+    for level in levels:
+        base = f"{column}_{slug(level)}"
+        name, turn = base, 1
+        while name in taken:
+            turn += 1
+            name = f"{base}_{turn}"
+        taken.add(name)
+        names[level] = name
+    return names
+
+
 def one_hot_columns(
     levels: Mapping[str, Sequence[str]], reference: Mapping[str, str] | None = None, sep: str | None = None
 ) -> list[Column]:
@@ -62,9 +77,10 @@ def one_hot_columns(
         dropped = reference.get(name)
         if dropped is not None and dropped not in values:
             raise ValueError(f"reference level {dropped!r} does not occur in column {name}")
+        column_of = level_names(name, values)
         for level in values:
             if level == dropped:
                 continue
             hit = F.array_contains(_tokens(name, sep), level) if sep else F.col(name) == level
-            out.append(F.when(hit, 1).otherwise(0).alias(f"{name}_{slug(level)}"))
+            out.append(F.when(hit, 1).otherwise(0).alias(column_of[level]))
     return out

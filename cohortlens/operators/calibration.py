@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import local_table, small_or_distributed
+from cohortlens.session import local_table, settled
 
 VARIANTS = ("raw", "sigmoid", "isotonic")
 
@@ -137,7 +137,7 @@ def _pool(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, s: np.ndarray):
     return L, H, W, S
 
 
-def fit_isotonic(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y", collect_up_to: int = 200_000) -> DataFrame:
+def fit_isotonic(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
     """Isotonic regression per key: ``keys, xs, ys`` (sorted thresholds and their values).
 
     Scores are ordered by a range shuffle on (keys, score), which also splits a key
@@ -189,12 +189,12 @@ def fit_isotonic(df: DataFrame, keys: Sequence[str], score: str = "score", y: st
         return pd.DataFrame({**row, "xs": [xs], "ys": [ys]})
 
     blocks = ordered.mapInPandas(local, counts.schema)
-    return small_or_distributed(blocks.groupBy(*keys).applyInPandas(final, out_schema), collect_up_to)
+    return settled(blocks.groupBy(*keys).applyInPandas(final, out_schema))
 
 
 def thresholds_up_to(xs: Column, score: Column) -> Column:
-    """How many of the sorted thresholds are <= score, by bisection."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(24))])
+    """How many of the sorted thresholds are <= score, by bisection; 31 steps reach the end of any array."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(31))])
     return F.aggregate(
         steps, F.lit(0),
         lambda at, h: F.when((at + h <= F.size(xs)) & (F.get(xs, at + h - 1) <= score), at + h).otherwise(at),
@@ -253,7 +253,7 @@ def fit_calibrators(
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, list(keys))
-    return small_or_distributed(out)
+    return settled(out)
 
 
 def apply_calibrators(

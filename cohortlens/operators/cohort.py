@@ -57,9 +57,11 @@ def derive(df: DataFrame, spec: CohortSpec) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def fit_cohort_levels(df: DataFrame, spec: CohortSpec, sep: str | None = None) -> dict[str, list[str]]:
+def fit_cohort_levels(
+    df: DataFrame, spec: CohortSpec, sep: str | None = None, max_levels: int | None = None
+) -> dict[str, list[str]]:
     """Levels of every categorical column, to be kept with the models trained on them."""
-    return fit_levels(df, list(spec.categorical), sep)
+    return fit_levels(df, list(spec.categorical), sep, max_levels)
 
 
 def feature_table(df: DataFrame, spec: CohortSpec, levels: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:
@@ -78,6 +80,9 @@ def feature_table(df: DataFrame, spec: CohortSpec, levels: Mapping[str, Sequence
         *[F.col(o) for o in spec.outcomes],
         *[F.col(c) for c in carried],
     )
+    clash = sorted({c for c in out.columns if out.columns.count(c) > 1})
+    if clash:
+        raise ValueError(f"several columns would be called {clash}; rename them in the cohort")
     n_features = len(spec.numeric) + len(indicators)
     return out, out.columns[1: 1 + n_features]
 

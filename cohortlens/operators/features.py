@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from cohortlens.operators.orderstats import exact_medians
+from cohortlens.operators.orderstats import exact_medians, present
 
 
 def fit_fill_values(
@@ -22,23 +22,23 @@ def fit_fill_values(
     if strategy == "median":
         return exact_medians(df, columns, keys, accuracy)
     if strategy == "mean":
-        return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
+        return df.groupBy(*keys).agg(*[F.avg(present(c)).alias(c) for c in columns])
     if strategy == "approx_median":
         return df.groupBy(*keys).agg(
-            *[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in columns]
+            *[F.percentile_approx(present(c), 0.5, accuracy).alias(c) for c in columns]
         )
     raise ValueError("strategy is 'median', 'mean' or 'approx_median'")
 
 
 def filled(columns: Sequence[str], values: Mapping[str, float] | Row, empty: float = 0.0) -> list[Column]:
-    """Columns with nulls replaced by fitted values.
+    """Columns with nulls and NaN replaced by fitted values.
 
     A column without any value in training has no fill value; it becomes the
     constant ``empty``, which no model can learn from.
     """
     values = values.asDict() if isinstance(values, Row) else dict(values)
     return [
-        F.coalesce(F.col(c).cast("double"), F.lit(float(empty if values.get(c) is None else values[c]))).alias(c)
+        F.coalesce(present(c), F.lit(float(empty if values.get(c) is None else values[c]))).alias(c)
         for c in columns
     ]
 

@@ -8,12 +8,14 @@ costs as little to shuffle as a small one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.subgroups import Registry, member_pattern, spread_pattern
 from cohortlens.operators.votes import yhat_col
+from cohortlens.session import settled
 
 EVALUATION_METRICS = ("accuracy", "f1", "precision", "recall")
 COUNTS = ("n", "tp", "fp", "fn", "tn")
@@ -144,14 +146,16 @@ def _ranked_totals(
         F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"), *extra
     )
     n_slices = 1 << log2_slices
-    # the filter keeps all sums alive, so that this branch reuses the shuffle of `ties`
-    alive = F.col("_pos") + F.col("_neg") + sum((F.col(name) for name in sums), F.lit(0)) > 0
-    edges = ties.where(alive).agg(
-        F.percentile_approx("_s", [i / n_slices for i in range(1, n_slices)], 10 * n_slices)
-    ).scalar()
-    sliced = ties.withColumn("_edges", edges).withColumn(
-        "_slice", _slice_of(F.col("_s"), F.col("_edges"), log2_slices)
-    ).drop("_edges")
+    # different scores with their counts are stored: the edges of every key and the slices read them
+    ties = settled(ties, "ties")
+    quantiles = F.percentile_approx("_s", [i / n_slices for i in range(1, n_slices)], 10 * n_slices)
+    if keys:
+        edges = settled(ties.groupBy(*keys).agg(quantiles.alias("_edges")), "edges")
+        same = [ties[k].eqNullSafe(edges[k]) for k in keys]
+        sliced = ties.join(edges, reduce(lambda a, b: a & b, same)).select(ties["*"], "_edges")
+    else:
+        sliced = ties.withColumn("_edges", ties.agg(quantiles).scalar())
+    sliced = sliced.withColumn("_slice", _slice_of(F.col("_s"), F.col("_edges"), log2_slices)).drop("_edges")
     inside = Window.partitionBy(*keys, "_slice").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
     slices = (

@@ -31,19 +31,22 @@ def score_col(model: str) -> str:
 class ModelSettings:
     """Settings shared by all fits. Defaults follow the classifiers' usual ones.
 
-    Spark grows trees to depth 30 at most and keeps all of a level's statistics in
-    memory, so ``forest_depth`` stays below that.
+    Spark grows trees to depth 30 at most. A tree has up to two nodes per row it was
+    fitted on and lives on the driver: on large data bound ``max_fit_rows``. A fit
+    then uses a seeded sample of about that many rows with the same share of each class.
     """
 
     tree_depth: int = 30
     forest_trees: int = 100
-    forest_depth: int = 15
+    forest_depth: int = 30
+    max_bins: int = 256
+    max_fit_rows: int | None = None
     logistic_iterations: int = 1500
     logistic_c: float = 1.0
     stump_rounds: int = 100
     stump_rate: float = 1.0
     hidden_units: int = 100
-    network_iterations: int = 200
+    network_iterations: int = 1800
     boosting_rounds: int = 100
     boosting_depth: int = 6
     boosting_rate: float = 0.3
@@ -98,13 +101,13 @@ def _scaled(stages: list, source: str = "features", target: str = "scaled") -> P
 
 
 def _tree(s: ModelSettings, n: int, d: int) -> Estimator:
-    return DecisionTreeClassifier(labelCol="y", maxDepth=s.tree_depth, impurity="gini", seed=0, maxMemoryInMB=512)
+    return DecisionTreeClassifier(labelCol="y", maxDepth=s.tree_depth, impurity="gini", seed=0, maxMemoryInMB=512, maxBins=s.max_bins)
 
 
 def _forest(s: ModelSettings, n: int, d: int) -> Estimator:
     return RandomForestClassifier(
         labelCol="y", numTrees=s.forest_trees, maxDepth=s.forest_depth, featureSubsetStrategy="sqrt", seed=0,
-        maxMemoryInMB=1024,
+        maxMemoryInMB=1024, maxBins=s.max_bins,
     )
 
 
@@ -117,7 +120,7 @@ def _logistic(s: ModelSettings, n: int, d: int) -> Estimator:
 
 
 def _stumps(s: ModelSettings, n: int, d: int) -> Estimator:
-    return GBTClassifier(labelCol="y", maxIter=s.stump_rounds, stepSize=s.stump_rate, maxDepth=1, seed=0)
+    return GBTClassifier(labelCol="y", maxIter=s.stump_rounds, stepSize=s.stump_rate, maxDepth=1, seed=0, maxBins=s.max_bins)
 
 
 def _network(s: ModelSettings, n: int, d: int) -> Estimator:
@@ -136,7 +139,8 @@ def _svm(s: ModelSettings, n: int, d: int) -> Estimator:
 
 def _boosted(s: ModelSettings, n: int, d: int) -> Estimator:
     return GBTClassifier(
-        labelCol="y", maxIter=s.boosting_rounds, maxDepth=s.boosting_depth, stepSize=s.boosting_rate, seed=0)
+        labelCol="y", maxIter=s.boosting_rounds, maxDepth=s.boosting_depth, stepSize=s.boosting_rate, seed=0,
+        maxBins=s.max_bins)
 
 
 #: the order breaks ties between equally good models (fixed value)
@@ -197,14 +201,31 @@ def fit(
     """Fit on ``features`` and ``y``. ``counts`` are the rows of class 0 and 1, known from the fold table."""
     if min(counts) == 0:
         return Fitted(algorithm, None)
-    model = algorithm.build(settings, sum(counts), n_features).fit(df)
+    n = sum(counts)
+    if settings.max_fit_rows is not None and n > settings.max_fit_rows:
+        share = settings.max_fit_rows / n
+        df = df.sampleBy("y", {0: share, 1: share}, seed=0)
+        n = settings.max_fit_rows
+    model = algorithm.build(settings, n, n_features).fit(df)
     if algorithm.probability:
         return Fitted(algorithm, model)
-    margins = model.transform(df).select(vector_to_array("rawPrediction")[1].alias("score"), "y")
-    row = fit_sigmoid(margins, []).first()
+    row = fit_sigmoid(_held_out_margins(algorithm, df, n, n_features, settings), []).first()
     return Fitted(algorithm, model, (row["a"], row["b"]))
 
 
+def _held_out_margins(algorithm: Algorithm, df: DataFrame, n: int, n_features: int, settings: ModelSettings) -> DataFrame:
+    """Margins of each half of the rows by a machine fitted on the other one; ``score`` and ``y``."""
+    df = df.select("features", "y").withColumn("half", F.pmod(F.xxhash64(vector_to_array("features")), F.lit(2)))
+    classes = {(r["half"], r["y"]) for r in df.select("half", "y").distinct().collect()}
+    parts = []
+    for half in (0, 1):
+        # rows that are all alike, or too few, can't be held out: they are scored by the machine fitted on all
+        fit_on = df.where(F.col("half") != half) if {(1 - half, 0), (1 - half, 1)} <= classes else df
+        model = algorithm.build(settings, max(1, n // 2), n_features).fit(fit_on.select("features", "y"))
+        parts.append(model.transform(df.where(F.col("half") == half)).select(vector_to_array("rawPrediction")[1].alias("score"), "y"))
+    return parts[0].unionByName(parts[1])
+
+
 def score_all(fitted: Sequence[Fitted], df: DataFrame) -> DataFrame:
     """Side-by-side scores of several models: one pass over the rows."""
     for f in fitted:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import small_or_distributed
+from cohortlens.session import settled
 
 
 def bucket_counts(
@@ -57,7 +57,7 @@ def values_at_ranks(
         .groupBy(*keys, "_b").agg(F.collect_set(F.struct("_inside", "rank")).alias("_wanted"))
     )
     # one row per cut: fetched, so that all other rows are dropped without being shuffled
-    wanted = small_or_distributed(wanted)
+    wanted = settled(wanted)
     number = F.row_number().over(Window.partitionBy(*part, "_b").orderBy("_o"))
     return (
         keyed.join(wanted, [*keys, "_b"])
@@ -67,10 +67,16 @@ def values_at_ranks(
     )
 
 
+def present(column: str) -> Column:
+    """The value as a double; NaN counts as missing."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def exact_medians(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), accuracy: int = 10_000
 ) -> DataFrame:
-    """Exact median of each column per key, ignoring nulls; null where all values are.
+    """Exact median of each column per key, ignoring nulls and NaN; null where all values are.
 
     ``F.median`` is exact too, but gathers every distinct value of a group in one
     task. Here a quantile sketch first brackets the median of all columns in one
@@ -82,7 +88,7 @@ def exact_medians(
     keys = list(keys)
     step = 2.0 / accuracy
     sketches = df.groupBy(*keys).agg(*[
-        F.percentile_approx(F.col(c).cast("double"), [0.5 - step, 0.5 + step], accuracy).alias(f"_k_{i}")
+        F.percentile_approx(present(c), [0.5 - step, 0.5 + step], accuracy).alias(f"_k_{i}")
         for i, c in enumerate(columns)
     ])
     brackets = sketches.select(*keys, F.array(*[
@@ -91,12 +97,12 @@ def exact_medians(
     ]).alias("_brackets"))
     # one row per key, fetched: with a known size the join needs no shuffle of the rows by key
     if keys:
-        joined = df.join(small_or_distributed(brackets), keys)
+        joined = df.join(settled(brackets), keys)
         bracket = F.col("_brackets")
     else:
         joined = df
         bracket = brackets.select("_brackets").scalar()
-    values = F.array(*[F.col(c).cast("double") for c in columns])
+    values = F.array(*[present(c) for c in columns])
     long = (
         joined.select(*keys, F.posexplode(F.arrays_zip(values.alias("v"), bracket.alias("b"))).alias("_c", "_z"))
         .select(*keys, "_c", F.col("_z.v").alias("_v"), F.col("_z.b._lo").alias("_lo"), F.col("_z.b._hi").alias("_hi"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.order import hash_share, order_key
 from cohortlens.operators.orderstats import bucket_counts, values_at_ranks
-from cohortlens.session import small_or_distributed
+from cohortlens.session import settled
 
 TEST_SHARE = 0.33
 SPLIT_SEED = 13
@@ -103,7 +103,7 @@ def stratified_folds(
         return df.withColumn(fold, hash_share(row_id, seed + 1, k))
     if mode != "exact":
         raise ValueError("mode is 'exact' or 'hash'")
-    ends = small_or_distributed(fold_ends(df, label, k, keys, row_id, seed, order).drop("rows_up_to"))
+    ends = settled(fold_ends(df, label, k, keys, row_id, seed, order).drop("rows_up_to"))
     # the key is a column below the join, so that it is computed once per row and not once per comparison
     keyed = df.withColumn("_key", F.col(order) if order else order_key(row_id, seed))
     return (

@@ -57,13 +57,16 @@ class FoldPlan:
     counts: Counts = field(default_factory=dict)
 
     def column(self, name: str, scope: Scope, outcome: str, key: str = "okey", held_out: int = -1) -> Column:
-        """Fold number of a row: how many fold ends of its class lie before its key."""
+        """Fold number of a row: how many fold ends of its class lie before its key.
+
+        A part without any row has no ends; its rows, of which there are none, are fold 0.
+        """
         out: Column | None = None
-        for label, ends in sorted(self.ends[(name, *scope.key, outcome, held_out)].items()):
+        for label, ends in sorted(self.ends.get((name, *scope.key, outcome, held_out), {}).items()):
             number = reduce(lambda a, b: a + b, [F.when(F.col(key) > e, 1).otherwise(0) for e in ends])
             hit = F.col("y") == label
             out = F.when(hit, number) if out is None else out.when(hit, number)
-        return out
+        return F.lit(0) if out is None else out
 
     def count(self, name: str, scope: Scope, outcome: str, held_out: int, fold: int) -> tuple[int, int]:
         c = self.counts.get((name, *scope.key, outcome, held_out, fold), {})

@@ -26,7 +26,7 @@ from cohortlens.operators.training import (
 from cohortlens.operators.votes import collect_weights, ensemble_members, p_col, soft_score, vote_table, yhat_col
 from cohortlens.plans import evaluation as E
 from cohortlens.plans import reports as R
-from cohortlens.session import new_folder, small_or_distributed
+from cohortlens.session import new_folder, settled
 from cohortlens.sources import ResultStore, read_split
 
 MODEL_KEYS = ["attribute", "grp", "outcome", "algorithm", "ordinal"]
@@ -200,7 +200,7 @@ def predictions(study: Study, fitted: DataFrame) -> DataFrame:
 def choose(study: Study, scores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Best per scope, best on everyone, and the runners-up on everyone. All small."""
     raw = scores.where(F.col("calibration") == "raw")
-    wide = small_or_distributed(cv_wide(raw, MODEL_KEYS))
+    wide = settled(cv_wide(raw, MODEL_KEYS))
     best = E.winners(wide, study.spec.metric)
     overall = wide.where(F.col("attribute") == ALL)
     base = runners_up(overall, ["outcome", "attribute", "grp"], study.spec.metric).select("outcome", "algorithm")

@@ -67,16 +67,13 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_distributed(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Turn a fitted table into a local relation if it is small.
+def settled(df: DataFrame, label: str = "fitted") -> DataFrame:
+    """A fitted table, written and read back.
 
-    The optimizer knows the exact size of a local relation and broadcasts it by
-    its own threshold. A larger table is returned as it is, to be joined by shuffle.
+    The optimizer then knows its real size in bytes and decides by its own threshold
+    whether a join broadcasts it; nothing of it passes through the driver.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return materialize(df, label)
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.session import materialize
+
 #: stage name -> partition columns
 STAGES: dict[str, tuple[str, ...]] = {
     "split": ("is_test",),
@@ -39,14 +41,16 @@ class ResultStore:
     def write(self, stage: str, df: DataFrame, mode: str = "overwrite") -> DataFrame:
         """Write a stage and return it as read back.
 
-        Overwriting is per partition, so writing one subgroup keeps the others.
+        Overwriting is per partition, so writing one subgroup keeps the others. What
+        comes back are the partitions just written, not those of earlier runs.
         """
         keys = [c for c in STAGES[stage] if c in df.columns]
         for key in ("attribute", "grp"):
             if key in keys:
                 df = df.withColumn(key, F.coalesce(F.col(key), F.lit(ALL)))
+        df = materialize(df, f"stage-{stage}")
         (df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(stage)))
-        return self.read(stage)
+        return self.read(stage).join(df.select(*keys).distinct(), keys, "left_semi") if keys else self.read(stage)
 
     def read(self, stage: str, **where: str) -> DataFrame:
         """Read a stage; ``where`` on partition columns prunes folders, not rows."""

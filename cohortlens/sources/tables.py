@@ -5,10 +5,16 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: name pattern of index columns that a table export leaves behind
 EXPORT_INDEX = r"^Unnamed"
+#: cells that stand for a missing value (fixed values)
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "n/a",
+           "nan", "null")
+#: types a column may be inferred as, the narrowest first
+_INFERRED = ("bigint", "double", "boolean")
 
 
 def drop_matching(df: DataFrame, pattern: str = EXPORT_INDEX) -> DataFrame:
@@ -21,23 +27,38 @@ def read_cohort(
 ) -> DataFrame:
     """Read a cohort from parquet or from CSV with a header.
 
-    CSV without a schema infers types, which costs one extra pass over the file.
+    CSV cells may be quoted, with doubled quotes and line breaks inside; cells in
+    ``MISSING`` are null. Columns of a ``schema`` are found by name, whatever their
+    order and whatever else the file has; a cell that doesn't fit its type is an
+    error. Without a schema types are inferred in one extra pass over the file.
     The format follows the file name unless ``fmt`` is given.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet")
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
-        return drop_matching(reader.csv(path), EXPORT_INDEX + r"|^_c0$")
+        text = spark.read.options(header=True, multiLine=True, escape='"', mode="FAILFAST", inferSchema=False).csv(path)
+        text = text.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in text.columns])
+        text = drop_matching(text, EXPORT_INDEX + r"|^_c0$")
+        types = _inferred(text) if schema is None else _fields(schema)
+        return text.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
     if fmt == "parquet":
+        reader = spark.read if schema is None else spark.read.schema(schema)
         return drop_matching(reader.parquet(path))
     raise ValueError(f"unknown cohort format {fmt!r}")
 
 
+def _fields(schema: T.StructType | str) -> dict[str, T.DataType]:
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return {f.name: f.dataType for f in schema.fields}
+
+
+def _inferred(text: DataFrame) -> dict[str, str]:
+    """For each column the first type that all its values fit, else text; a column without values is text."""
+    fits = text.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"{i}_{t}")
+                      for i, c in enumerate(text.columns) for t in _INFERRED],
+                    *[F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(text.columns)]).first()
+    return {c: next((t for t in _INFERRED if fits[f"{i}_n"] and not fits[f"{i}_{t}"]), "string") for i, c in enumerate(text.columns)}
+
+
 def read_split(df: DataFrame, part: str) -> DataFrame:
     """The ``train`` or ``test`` rows of a table with an ``is_test`` column."""
     if part not in ("train", "test"):
