@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cohortlens.llm.imatch import fingerprint_documents
 from cohortlens.llm.licenses import scan_licenses
+from cohortlens.llm.licenses_sql import licenses_sql
 from cohortlens.llm.mixing import mix_sources
 from cohortlens.llm.neighbours import nearest_neighbours
 from cohortlens.llm.ngrams import score_by_model
@@ -19,6 +20,7 @@ from cohortlens.llm.quality import score_quality
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tables import table
 from cohortlens.llm.urls import judge_urls
+from cohortlens.llm.urls_sql import urls_sql
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -66,7 +68,7 @@ def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on the URL of every page."""
-    return judge_urls(table(spark, folder, "pages"))
+    return judge_urls(table(spark, folder, "pages")).withColumn("score", F.round("score", 9))
 
 
 @query
@@ -93,6 +95,8 @@ def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+ORACLE_SQL["op6_urls"] = urls_sql()
+ORACLE_SQL["op3_licenses"] = licenses_sql()
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -113,7 +113,8 @@ def score_urls(urls: DataFrame, ruled: Column) -> DataFrame:
 
 
 def _set_aside() -> Column:
-    return F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0
+    digest = F.md5(F.concat("host", F.lit("\n"), "path").cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 5 == 0
 
 
 def best_threshold(scored: DataFrame, cells: int = 800, reach: float = 4.0) -> float:
