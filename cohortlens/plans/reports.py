@@ -49,14 +49,17 @@ def single_vs_ensembles(evaluation: DataFrame, attributes: Sequence[str]) -> Dat
 
 
 def strategies_by_group(evaluation: DataFrame) -> DataFrame:
-    """Each subgroup: the four strategies next to each other. A group needs all four to be listed."""
+    """Each subgroup: the four strategies next to each other.
+
+    A group is listed if any strategy has a value; one that could not be trained there is null.
+    """
     from cohortlens.plans.evaluation import STRATEGIES
 
     rows = evaluation.where((F.col("attribute") != ALL) & (F.col("calibration") == "raw"))
-    table = side_by_side(rows, ["outcome", "attribute", "grp"], "strategy", STRATEGIES)
-    return table.dropna(subset=list(STRATEGIES))
+    return side_by_side(rows, ["outcome", "attribute", "grp"], "strategy", STRATEGIES)
 
 
 def chart_limits(report: DataFrame, keys: Sequence[str], variants: Sequence[str]) -> DataFrame:
     """Largest percentage shown per chart."""
-    return report.groupBy(*keys).agg(F.max(F.greatest(*[F.col(v) for v in variants])).alias("highest"))
+    shown = [F.col(v) for v in variants]
+    return report.groupBy(*keys).agg(F.max(F.greatest(*shown) if len(shown) > 1 else shown[0]).alias("highest"))

@@ -15,7 +15,7 @@ from cohortlens.functions.order import order_key
 from cohortlens.operators.calibration import apply_calibrators, fit_calibrators
 from cohortlens.operators.cohort import CohortSpec, derive, feature_table, fit_cohort_levels
 from cohortlens.operators.features import fit_fill_values
-from cohortlens.operators.metrics import cv_summary, cv_wide, fold_scores
+from cohortlens.operators.metrics import cv_summary, cv_wide, fold_scores, prevalence, reliability_curve
 from cohortlens.operators.models import Algorithm, Fitted, ModelSettings, algorithms, score_col
 from cohortlens.operators.selection import SELECTION_METRIC, runners_up, union_all
 from cohortlens.operators.split import SPLIT_SEED, TEST_SHARE, split_train_test
@@ -39,6 +39,7 @@ class StudySpec:
     ``accumulate`` lets an ensemble keep the winners of the attributes before its own.
     ``refit=False`` lets a group's winner vote as fitted on the group, instead of
     fitted on everyone. ``members_from`` takes all group winners from one outcome.
+    ``base_members`` names the members every ensemble starts with, instead of the runners-up.
     """
 
     cohort: CohortSpec
@@ -57,6 +58,7 @@ class StudySpec:
     accumulate: bool = False
     refit: bool = True
     members_from: str | None = None
+    base_members: tuple[str, ...] | None = None
     parallel_fits: int = 4
 
     def attribute_names(self) -> list[str]:
@@ -203,7 +205,11 @@ def choose(study: Study, scores: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     wide = settled(cv_wide(raw, MODEL_KEYS))
     best = E.winners(wide, study.spec.metric)
     overall = wide.where(F.col("attribute") == ALL)
-    base = runners_up(overall, ["outcome", "attribute", "grp"], study.spec.metric).select("outcome", "algorithm")
+    if study.spec.base_members:
+        named = [a.name for a in algorithms(study.spec.base_members)]
+        base = overall.where(F.col("algorithm").isin(named)).select("outcome", "algorithm")
+    else:
+        base = runners_up(overall, ["outcome", "attribute", "grp"], study.spec.metric).select("outcome", "algorithm")
     return best.where(F.col("attribute") != ALL), best.where(F.col("attribute") == ALL), base
 
 
@@ -307,6 +313,11 @@ def run_study(df: DataFrame, spec: StudySpec, store: ResultStore | None = None)
     ])
     out["evaluation"] = store.write("evaluation", results)
     out.update(reports(out["evaluation"], spec.attribute_names()))
+    # NaN scores, of models that saw one class, belong to no bin
+    out["reliability"] = reliability_curve(
+        predicted.where(everyone & ~F.isnan("p")), ["outcome", "algorithm", "calibration"])
+    out["prevalence"] = prevalence(
+        with_membership(study.table, groups, whole=True, attributes=spec.attributes), ["is_test", "attribute", "grp"], study.outcomes)
     return out
 
 
@@ -315,12 +326,18 @@ def _restricted(registry: Registry, spec: StudySpec) -> Registry:
 
 
 def reports(evaluation: DataFrame, attributes: Sequence[str]) -> dict[str, DataFrame]:
-    return {
+    tables = {
         "calibration_overall": R.calibration_overall(evaluation, ("raw", "sigmoid", "isotonic")),
         "calibration_by_group": R.calibration_by_group(evaluation, ("raw", "sigmoid", "isotonic")),
         "single_vs_ensembles": R.single_vs_ensembles(evaluation, attributes),
         "strategies_by_group": R.strategies_by_group(evaluation),
     }
+    fixed = {"outcome", "attribute", "grp", "metric"}
+    tables["chart_limits"] = union_all([
+        R.chart_limits(t, ["outcome", "metric"], [c for c in t.columns if c not in fixed]).withColumn("report", F.lit(name))
+        for name, t in tables.items()
+    ])
+    return tables
 
 
 __all__ = ["Study", "StudySpec", "p_col", "prepare", "run_study", "yhat_col"]

@@ -50,7 +50,12 @@ class ResultStore:
                 df = df.withColumn(key, F.coalesce(F.col(key), F.lit(ALL)))
         df = materialize(df, f"stage-{stage}")
         (df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(stage)))
-        return self.read(stage).join(df.select(*keys).distinct(), keys, "left_semi") if keys else self.read(stage)
+        if not keys:
+            return self.read(stage)
+        # a few folders: as literals they prune partitions
+        name = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])
+        written = [r["name"] for r in df.select(name.alias("name")).distinct().collect()]
+        return self.read(stage).where(name.isin(written) if written else F.lit(False))
 
     def read(self, stage: str, **where: str) -> DataFrame:
         """Read a stage; ``where`` on partition columns prunes folders, not rows."""

@@ -88,6 +88,12 @@ def test_whole_study(spark, stays, tmp_path):
     assert any(best["accuracy"] == pytest.approx(a) for a in options)
     assert out["strategies_by_group"].count() == 2 * 2 * 4
     assert out["ensemble_cv"].where("attribute = 'sex'").count() == 2 * 2 * 6
+    bins = {(r["outcome"], r["algorithm"], r["calibration"]): r["n"] for r in out["reliability"].groupBy(
+        "outcome", "algorithm", "calibration").agg(F.sum("n").alias("n")).collect()}
+    assert len(bins) == 2 * 2 * 3 and set(bins.values()) == {test_rows}
+    assert out["prevalence"].where("is_test and attribute = 'all'").first()["n"] == test_rows
+    assert {r["report"] for r in out["chart_limits"].collect()} == {
+        "calibration_overall", "calibration_by_group", "single_vs_ensembles", "strategies_by_group"}
 
 
 def test_every_algorithm_scores_between_zero_and_one(spark, stays):
