@@ -139,5 +139,5 @@ def test_csv_cohort_without_export_columns(spark, tmp_path):
     df = read_cohort(spark, str(path))
     assert df.columns == ["age", "sex"] and df.count() == 2
     assert drop_matching(df, "^s").columns == ["age"]
-    typed = read_cohort(spark, str(path), "i int, u int, age double, sex string")
+    typed = read_cohort(spark, str(path), "age double, sex string")
     assert dict(typed.dtypes)["age"] == "double"
