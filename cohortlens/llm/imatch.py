@@ -63,18 +63,13 @@ def with_fingerprint(rows: DataFrame, text: str, lexicon: list[str], into: str)
     listed = ", ".join(map(_literal, lexicon)) or "NULL"
     rows = rows.withColumn(name("terms"), terms_of(F.col(text)))
     rows = rows.withColumn(name("band"), F.expr(f"filter({name('terms')}, t -> t IN ({listed}))"))
-    rows = rows.withColumn(name("own"), F.sort_array(F.when(F.size(name("band")) > 0, F.col(name("band"))).otherwise(F.col(name("terms")))))
-    hashes: list[Column] = []
-    rows = rows.withColumn(name("hashed"), F.expr(f"transform({name('own')}, t -> struct(t, xxhash64(t) AS h))"))
-    for draw in range(DRAWS):
-        before = name("hashed")
-        for halving in HALVINGS:
-            here = name(f"draw{draw}_{halving}")
-            # the first ``halving`` bits of the drawing are zero
-            rows = rows.withColumn(here, F.expr(f"filter({before}, e -> (shiftright(e.h, {8 * draw}) & {(1 << halving) - 1}) = 0)"))
-            hashes.append(F.when(F.size(here) > 0, F.xxhash64(f"{here}.t").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0)))
-            before = here
-    return rows.select(*others, F.array(*hashes).alias(into))
+    own = F.sort_array(F.when(F.size(name("band")) > 0, F.col(name("band"))).otherwise(F.col(name("terms"))))
+    rows = rows.withColumn(name("hashed"), F.transform(own, lambda t: F.xxhash64(t)))
+    # a term is in a subset if the drawing's first bits of its hash are zero; no terms hash to 42, the seed
+    masks = ", ".join(str((1 << halving) - 1) for halving in HALVINGS)
+    drawn = [F.expr(f"transform(array({masks}), m -> (xxhash64(filter({name('hashed')}, h -> (shiftright(h, {8 * draw}) & m) = 0)) ^ 42) & 4294967295)")
+             for draw in range(DRAWS)]
+    return rows.select(*others, F.flatten(F.array(*drawn)).alias(into))
 
 
 def as_hex(prints: str) -> Column:
@@ -108,19 +103,24 @@ def fingerprint_documents(docs: DataFrame, *, text: str = "text", id_column: str
                           band: tuple[float, float] = BAND) -> DataFrame:
     """Per row: id, ``n_chars``, ``edited_sha256``, both fingerprints, ``near_edited`` and ``near_next``."""
     lexicon = fit_lexicon(docs, text, band)
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # ids are joined by two columns that are never null, so that one dealing of the texts serves both joins
+    key = lambda c, name: [F.col(c).isNull().alias(f"{name}_none"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)]
+    rows = docs.select(F.col(id_column).alias("id"), *key(id_column, "own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # of each id, half the characters of its longest row are fetched from the next one
     sizes = materialize(rows.groupBy("id").agg(F.max(F.length("text")).alias("most")), "lengths")
     ids = next_ids(sizes.select("id"))
     wanted = materialize(ids.join(sizes, ids["id"].eqNullSafe(sizes["id"])).select(
-        ids["id"].alias("before"), "next", F.floor(F.col("most") / 2).cast("int").alias("half")), "next-ids")
-    marked = with_fingerprint(rows, "text", lexicon, "prints")
-    given = marked.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.next"))).select(
-        "w.before", F.struct(F.col("d.text").substr(F.lit(1), F.col("w.half")).alias("text"), "d.prints").alias("next"))
-    given = given.groupBy("before").agg(F.min("next").alias("next"))
-    joined = marked.alias("d").join(given.alias("g"), F.col("d.id").eqNullSafe(F.col("g.before"))).select(
-        "d.id", "d.text", "d.prints", F.col("g.next.text").alias("next_text"), F.col("g.next.prints").alias("next_prints"),
-        F.length("d.text").alias("n_chars"))
+        ids["id"].alias("id"), "next", F.floor(F.col("most") / 2).cast("int").alias("half")).select(
+        *key("id", "before"), *key("next", "next"), "half"), "next-ids")
+    # both joins use the same columns of this, so its dealing is done once; the id is read back from its text
+    marked = with_fingerprint(rows.drop("id"), "text", lexicon, "prints")
+    given = marked.join(wanted, (F.col("own") == F.col("next")) & (F.col("own_none") == F.col("next_none"))).select(
+        "before_none", "before", F.struct(F.col("text").substr(F.lit(1), F.col("half")).alias("text"), "prints").alias("given"))
+    given = given.groupBy("before_none", "before").agg(F.min("given").alias("given"))
+    joined = marked.join(given, (F.col("own") == F.col("before")) & (F.col("own_none") == F.col("before_none"))).select(
+        F.when(~F.col("own_none"), F.col("own").cast(docs.schema[id_column].dataType)).alias("id"),
+        "text", "prints", F.col("given.text").alias("next_text"), F.col("given.prints").alias("next_prints"),
+        F.length("text").alias("n_chars"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n_chars") - half), F.col("next_text").substr(F.lit(1), half))
     edited = joined.select("id", "n_chars", "prints", "next_prints", edited.alias("edited"))
