@@ -242,7 +242,7 @@ def _join_round(graph: DataFrame, k: int, received: int) -> DataFrame:
     return sent.mapInArrow(compare, "id long, other long, sim float")
 
 
-def build_graph(nodes: DataFrame, *, k: int = 40, cells: int = 9, group: int = 384, received: int = 80, rounds: int = 8, seed: int = 11) -> DataFrame:
+def build_graph(nodes: DataFrame, *, k: int = 48, cells: int = 9, group: int = 384, received: int = 96, rounds: int = 8, seed: int = 11) -> DataFrame:
     """Neighbour lists of ``nodes`` (``id``, ``code``), nearest first."""
     empty = nodes.select("id", "code", F.array().cast("array<long>").alias("nbrs"), F.array().cast("array<float>").alias("sims"),
                          F.array().cast("array<boolean>").alias("fresh"))
@@ -258,7 +258,7 @@ def build_graph(nodes: DataFrame, *, k: int = 40, cells: int = 9, group: int = 3
 POOL = "id long, code binary, pool array<long>, sims array<float>, done array<boolean>"
 
 
-def search_graph(graph: DataFrame, queries: DataFrame, *, pool: int = 96, width: int = 24, steps: int = 6) -> DataFrame:
+def search_graph(graph: DataFrame, queries: DataFrame, *, pool: int = 192, width: int = 32, steps: int = 8) -> DataFrame:
     """``id``, ``pool``: for each node of ``queries`` (``id``), the nodes that a greedy search finds, nearest first."""
     state = materialize(graph.join(queries, "id", "left_semi").select(
         "id", "code", F.col("nbrs").alias("pool"), "sims", F.transform("nbrs", lambda x: F.lit(False)).alias("done")), "pools")
