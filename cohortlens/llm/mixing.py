@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm.tables import free_name
-from cohortlens.llm.text import count_words, hash_texts, mix
+from cohortlens.llm.text import count_words, hash_texts, mix, parts
 from cohortlens.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -46,7 +46,7 @@ def measure(docs: DataFrame, id_column: str, text: str, source: str) -> DataFram
                            T.StructField("hash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column("text")
             salt = batch.column("salt").to_numpy().view(np.uint64)
             h = mix(hash_texts(texts) ^ mix(salt)) >> np.uint64(64 - HASH_BITS)
@@ -156,7 +156,7 @@ def repeat_mixed(docs: DataFrame, *, id_column: str = "doc_id", text: str = "tex
     names = docs.columns
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             h = mix(hash_texts(batch.column(text)) ^ mix(batch.column(weight).to_numpy().view(np.uint64))) >> np.uint64(64 - HASH_BITS)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(h.astype(np.int64))], names=[*names, key])
 

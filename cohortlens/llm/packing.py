@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm.tables import free_name
-from cohortlens.llm.text import blocks, count_words, hash_texts
+from cohortlens.llm.text import blocks, count_words, hash_texts, parts
 from cohortlens.session import materialize
 
 CAPACITY = 2048
@@ -92,7 +92,7 @@ def measured(docs: DataFrame, text: str, keep_text: bool, names: tuple[str, str,
     schema = T.StructType([*fields, T.StructField(size, T.LongType()), T.StructField(cluster, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(text)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in fields), pa.array(count_words(texts)), pa.array(hash_texts(texts, fold=True).view(np.int64))],
@@ -153,7 +153,7 @@ def packed_pieces(docs: DataFrame, *, text: str = "text", source: str = "source"
     both = both.select(*(clash[c] for c in extra), *docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(text)
             start, n = batch.column(clash["start"]).to_numpy(), batch.column(clash["n_words"]).to_numpy()
             out: list[str | None] = [None] * batch.num_rows

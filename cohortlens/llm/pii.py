@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.llm.text import parts
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, WIDEST = 16, 64
 #: characters of context on either side of a digit or at sign
@@ -341,7 +343,7 @@ def fit_field(rows: list[str], *, epochs: int = 6, rate: float = 0.5, shrink: fl
 
 def _windows_of(docs: DataFrame, text: str, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found: list[str] = []
             for t in batch.column("text"):
                 t = t.as_py() or ""
@@ -369,7 +371,7 @@ def find_private(docs: DataFrame, *, text: str = "text", id_column: str = "doc_i
                            T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             counts = np.zeros((batch.num_rows, len(KINDS)), np.int64)
             digests, found = [], []
             for row, t in enumerate(batch.column("text")):
@@ -401,7 +403,7 @@ def mask_private(docs: DataFrame, *, text: str = "text", count: str = "n_chars",
     fields = docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             new = [None if t is None else masked(t, all_spans(t, field)[1]) for t in (x.as_py() for x in batch.column(text))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new, batch.column(text).type) if f.name == text else batch.column(f.name) for f in fields], names=[f.name for f in fields])

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from cohortlens.llm.components import connected_components
 from cohortlens.llm.tables import free_name
+from cohortlens.llm.text import parts
 from cohortlens.session import materialize
 
 RADIUS = 2
@@ -110,7 +111,7 @@ def with_fingerprint(docs: DataFrame, text: str, into: str, width: int, keep_tex
     fields = [f for f in docs.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             prints = np.zeros(batch.num_rows, np.int64)
             for lo in range(0, batch.num_rows, 256):
                 prints[lo : lo + 256] = fingerprint_batch(batch.column(text).slice(lo, 256).to_pylist(), width)

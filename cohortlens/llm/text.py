@@ -129,6 +129,13 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         first = last
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: bounds what a worker holds of texts that it gives back."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def count_words(texts: pa.Array) -> np.ndarray:
     """Number of words of each text."""
     out = np.zeros(len(texts), np.int64)
