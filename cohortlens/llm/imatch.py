@@ -114,10 +114,10 @@ def fingerprint_documents(docs: DataFrame, *, text: str = "text", id_column: str
         *key("id", "before"), *key("next", "next"), "half"), "next-ids")
     # both joins use the same columns of this, so its dealing is done once; the id is read back from its text
     marked = with_fingerprint(rows.drop("id"), "text", lexicon, "prints")
-    given = marked.join(wanted, (F.col("own") == F.col("next")) & (F.col("own_none") == F.col("next_none"))).select(
+    given = marked.join(wanted, (F.col("own_none") == F.col("next_none")) & (F.col("own") == F.col("next"))).select(
         "before_none", "before", F.struct(F.col("text").substr(F.lit(1), F.col("half")).alias("text"), "prints").alias("given"))
     given = given.groupBy("before_none", "before").agg(F.min("given").alias("given"))
-    joined = marked.join(given, (F.col("own") == F.col("before")) & (F.col("own_none") == F.col("before_none"))).select(
+    joined = marked.join(given, (F.col("own_none") == F.col("before_none")) & (F.col("own") == F.col("before"))).select(
         F.when(~F.col("own_none"), F.col("own").cast(docs.schema[id_column].dataType)).alias("id"),
         "text", "prints", F.col("given.text").alias("next_text"), F.col("given.prints").alias("next_prints"),
         F.length("text").alias("n_chars"))
