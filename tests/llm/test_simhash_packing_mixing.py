@@ -81,6 +81,40 @@ def test_keep_one(docs, no_docs):
     assert keep_one(no_docs).count() == 0 and near_duplicates(no_docs).count() == 0
 
 
+def test_keep_one_finds_planted_near_copies(spark):
+    rng = np.random.default_rng(8)
+    shingle_set = lambda t: {tuple(w) for w in zip(*(t.split()[k:] for k in range(5)), strict=False)}
+    alike = lambda a, b: len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+    rows, want = [], set()
+    for wanted in (0.6, 0.82, 0.9, 0.95):
+        for i in range(20):
+            first = [f"v{x}" for x in rng.integers(0, 10**6, 400)]
+            other, order = list(first), rng.permutation(400)
+            for k in order:
+                new = [*other]
+                new[k] = "changed" + str(k)
+                if alike(" ".join(first), " ".join(new)) < wanted:
+                    break
+                other = new
+            at = len(rows)
+            rows += [(at, " ".join(first)), (at + 1, " ".join(other))]
+            want.add(at)
+            if alike(rows[-2][1], rows[-1][1]) < 0.8:
+                want.add(at + 1)
+    # copies of one text that are less alike among themselves than to it
+    at, hub = len(rows), [f"hub{x}" for x in range(300)]
+    rows.append((at, " ".join(hub)))
+    want.add(at)
+    for i in range(60):
+        w = list(hub)
+        for k in rng.choice(60, 6, replace=False) * 5:
+            w[k] = f"own{i}x{k}"
+        assert alike(" ".join(hub), " ".join(w)) >= 0.8
+        rows.append((at + 1 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in keep_one(df).collect()} == want
+
+
 def test_mix_targets_and_takes(docs, no_docs):
     rows = mix_sources(docs).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in rows) == sorted(
