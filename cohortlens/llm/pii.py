@@ -2,7 +2,7 @@
 
 Fixed patterns give the base spans: emails, IPv4 addresses, card numbers that pass
 Luhn's test, international phone numbers. The field finds further spans that are
-written in other ways. Around digits and ``@`` signs a text is cut into windows and
+written in other ways. Around digits, ``@`` signs and the word "at" a text is cut into windows and
 those into tokens (letters, digits, single signs, spaces). A candidate segment of at
 most ``LONGEST`` tokens is scored as a whole for each kind: by its shape, its number
 of digits, checks on its digits, and what stands beside it. Dynamic programming over
@@ -37,8 +37,8 @@ from cohortlens.llm.text import parts
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, WIDEST = 16, 64
-#: characters of context on either side of a digit or at sign
-MARGIN = 40
+#: characters on either side of a trigger: the widest candidate that can hold it, and context
+MARGIN = WIDEST + 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,7 +47,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
+#: what a candidate must hold: a digit, an at sign, or the word "at" as a token of its own
+_TRIGGER = re.compile(r"[0-9@]+|(?<![^\W\d_])[Aa][Tt](?![^\W\d_])")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _NO_DIGIT = re.compile(r"[^0-9]+")
 
@@ -93,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and at signs; neighbours that touch are one."""
+    """Stretches around triggers; neighbours that touch are one. A candidate that holds a trigger lies inside."""
     lo = hi = -1
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
@@ -107,6 +108,29 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         yield lo, hi
 
 
+def pieces(text: str, longest: int) -> list[str]:
+    """The windows, cut where they are over ``longest`` characters: at a space if there is one, never inside a base span."""
+    spans = sorted(((a, b) for _, a, b in base_spans(text)), reverse=True)
+    out = []
+    for lo, hi in windows(text):
+        while hi - lo > longest:
+            at = lo + longest
+            at = max(at - longest // 2, text.rfind(" ", lo, at)) if " " in text[at - longest // 2 : at] else at
+            for a, b in spans:
+                if a < at < b:
+                    at = a
+            if at <= lo:
+                at = max(b for a, b in spans if a <= lo < b)
+                while inside := [b for a, b in spans if a < at < b]:
+                    at = max(inside)
+            if at >= hi:
+                break
+            out.append(text[lo:at])
+            lo = at
+        out.append(text[lo:hi])
+    return out
+
+
 def _size(n: int) -> str:
     return str(n) if n <= 4 else "5" if n <= 8 else "9" if n <= 11 else "12" if n <= 15 else "16" if n <= 19 else "20"
 
@@ -346,15 +370,14 @@ def _windows_of(docs: DataFrame, text: str, longest: int) -> DataFrame:
         for batch in parts(batches):
             found: list[str] = []
             for t in batch.column("text"):
-                t = t.as_py() or ""
-                found.extend(t[lo:hi] for lo, hi in windows(t) if hi - lo <= longest)
+                found.extend(pieces(t.as_py() or "", longest))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["part"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "part string")
 
 
 def train_field(docs: DataFrame, text: str = "text", *, sample: int = 360, longest: int = 400) -> Field | None:
-    """Fit on the ``sample`` different windows of smallest hash, of at most ``longest`` characters each."""
+    """Fit on the ``sample`` different windows of smallest hash, cut into pieces of about ``longest`` characters."""
     parts = _windows_of(docs, text, longest).distinct().orderBy(F.xxhash64("part"), "part").limit(sample)
     return fit_field([r["part"] for r in parts.collect()])
 

@@ -270,6 +270,37 @@ def test_field_keeps_base_spans_and_finds_other_ways(spark, docs, no_docs):
     assert pii.find_private(docs).count() == docs.count() and pii.find_private(no_docs).count() == 0
 
 
+def test_every_other_way_of_an_email_is_scored_without_a_digit_near_it():
+    long = "some.personwithalongname at department.universitylibrary.org"
+    ways = [*pii._other_ways(0, "jane.doe@mail.example.com"), long, "JANE AT mail.example.com"]
+    for way in ways:
+        text = "plain words " * 20 + way + " more plain words" * 20
+        candidates = set()
+        for lo, hi in pii.windows(text):
+            s = pii.segments(text[lo:hi])
+            candidates |= {text[lo + s.tokens[i][0] : lo + s.tokens[j - 1][1]] for i, j in s.spans if s.tokens[i][0] > 0 and s.tokens[j - 1][1] < hi - lo}
+        assert way in candidates, way
+    assert not list(pii.windows("what that atlas of cats " * 20))
+
+
+def test_found_emails_without_a_digit_or_sign_near_them(spark):
+    names = ["anna", "bert", "cleo", "dora", "emil", "finn", "gina", "hugo", "ines", "jens"]
+    rows = [(i, "plain words " * 15 + f"mail {names[i % 10]}.{names[i // 10 % 10]}@{names[i // 7 % 10]}.example.com now " + "we met at noon and ate " * 8)
+            for i in range(100)]
+    field = pii.train_field(spark.createDataFrame(rows, "doc_id long, text string"))
+    for way in pii._other_ways(0, "lena.kurz@post.example.org"):
+        text = "plain words " * 15 + f"write to {way} now " + "plain words " * 15
+        assert way in [text[a:b] for _, a, b in pii.all_spans(text, field)[1]], way
+    assert pii.all_spans("we met at noon and ate at home with friends " * 5, field)[1] == []
+
+
+def test_long_windows_are_cut_into_pieces():
+    text = ", ".join(f"name{i}@host.com 4111 1111 1111 1111 +1 (017) 555-77{i:02d}" for i in range(60))
+    got = pii.pieces(text, 400)
+    assert "".join(got) == text and len(got) > 5 and max(map(len, got)) <= 400
+    assert sum(len(pii.base_spans(p)) for p in got) == len(pii.base_spans(text)) == 180
+
+
 # --- neighbours ------------------------------------------------------------
 
 def test_neighbours(spark):
