@@ -10,8 +10,8 @@ the tokens chooses boundaries and kinds together; all other tokens stand alone a
 "outside". Time is linear in the text, as segments are bounded.
 
 Training maximises the likelihood of windows whose base spans are known. Windows are
-drawn from all texts: the ``sample`` of them with the smallest hashes, a bounded
-sample. Each is also shown with its spans rewritten in fixed other ways (an email
+drawn from all texts: for each kind of base span, and without any, the ``sample`` of
+them with the smallest hashes, so that a rare kind is learned too. Each is also shown with its spans rewritten in fixed other ways (an email
 with " at ", a phone number without country code), so that the field learns those too.
 
 Result: all base spans, and those of the field that overlap none.
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -263,8 +263,11 @@ def _other_ways(kind: int, span: str) -> list[str]:
 
 
 def _harmless(turn: int, span: str) -> str:
-    """Digits of a span as something that isn't personal: a date, a time, a version, an amount, a range of years."""
-    d = (_NO_DIGIT.sub("", span) * 16)[:16]
+    """Digits of a span as something that isn't personal: a date, a time, a version, an amount, a range of years.
+
+    A span without digits has those of its characters' codes instead.
+    """
+    d = ((_NO_DIGIT.sub("", span) or "".join(str(ord(c)) for c in span)) * 16)[:16]
     month, day = f"{int(d[2:4]) % 12 + 1:02d}", f"{int(d[4:6]) % 28 + 1:02d}"
     ways = [f"19{d[:2]}-{month}-{day}", f"{int(d[:2]) % 24:02d}:{int(d[2:4]) % 60:02d}", f"{d[0]}.{d[1]}.{d[2]}", f"{d[0]},{d[1:4]},{d[4:7]}",
             f"20{d[:2]}-20{d[2:4]}", f"{day}.{month}.20{d[:2]}", d[:7], f"{d[0]}.{d[1:3]} of {d[3]}:{d[4:6]}", f"{d[:4]} of {d[4:8]}", f"{d[:3]} at {d[3:6]}",
@@ -366,20 +369,28 @@ def fit_field(rows: list[str], *, epochs: int = 6, rate: float = 0.5, shrink: fl
 
 
 def _windows_of(docs: DataFrame, text: str, longest: int) -> DataFrame:
+    """``part`` and ``kind``: a window for each kind of base span that it has, or once with kind -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            found: list[str] = []
+            found: list[tuple[str, int]] = []
             for t in batch.column("text"):
-                found.extend(pieces(t.as_py() or "", longest))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["part"])
+                for part in pieces(t.as_py() or "", longest):
+                    found.extend((part, kind) for kind in sorted({k for k, _, _ in base_spans(part)}) or (-1,))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32())],
+                                             names=["part", "kind"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "part string, kind int")
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "part string")
 
+def train_field(docs: DataFrame, text: str = "text", *, sample: int = 120, longest: int = 400) -> Field | None:
+    """Fit on the ``sample`` different windows of smallest hash of each kind of base span, and as many without any.
 
-def train_field(docs: DataFrame, text: str = "text", *, sample: int = 360, longest: int = 400) -> Field | None:
-    """Fit on the ``sample`` different windows of smallest hash, cut into pieces of about ``longest`` characters."""
-    parts = _windows_of(docs, text, longest).distinct().orderBy(F.xxhash64("part"), "part").limit(sample)
-    return fit_field([r["part"] for r in parts.collect()])
+    Windows are cut into pieces of about ``longest`` characters.
+    """
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("part"), "part"))
+    drawn = _windows_of(docs, text, longest).distinct().withColumn("place", place).where(F.col("place") <= sample)
+    return fit_field(sorted({r["part"] for r in drawn.select("part").collect()}))
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:

@@ -301,6 +301,16 @@ def test_long_windows_are_cut_into_pieces():
     assert sum(len(pii.base_spans(p)) for p in got) == len(pii.base_spans(text)) == 180
 
 
+def test_rare_kinds_are_learned(spark):
+    rows = [(i, f"in the year {1000 + i} it was {i}.{i % 7} high") for i in range(10000)]
+    rows[77] = (77, "call +1 (017) 555-7713 today")
+    rows[5077] = (5077, "mail ann.b@mail.example.com now")
+    parts = pii._windows_of(spark.createDataFrame(rows, "doc_id long, text string"), "text", 400).where("kind >= 0").collect()
+    assert sorted(r["kind"] for r in parts) == [0, 3]
+    field = pii.train_field(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert field is not None and field.segment
+
+
 # --- neighbours ------------------------------------------------------------
 
 def test_neighbours(spark):
