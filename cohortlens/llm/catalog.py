@@ -12,13 +12,18 @@ from cohortlens.llm.imatch import fingerprint_documents
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.licenses_sql import licenses_sql
 from cohortlens.llm.mixing import mix_sources
+from cohortlens.llm.negatives import mine_negatives
+from cohortlens.llm.negatives_sql import negatives_sql
 from cohortlens.llm.neighbours import nearest_neighbours
 from cohortlens.llm.ngrams import score_by_model
 from cohortlens.llm.packing import plan_packing
 from cohortlens.llm.pii import find_private
 from cohortlens.llm.quality import score_quality
+from cohortlens.llm.sharding import shuffle_to_shards
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tables import table
+from cohortlens.llm.turns import repair_conversations
+from cohortlens.llm.turns_sql import turns_sql
 from cohortlens.llm.urls import judge_urls
 from cohortlens.llm.urls_sql import urls_sql
 
@@ -95,6 +100,27 @@ def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document after a uniform shuffle into eight shards of equal row counts."""
+    return shuffle_to_shards(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair_conversations(table(spark, folder, "conversations"))
+
+
+@query
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with the labels of every seventh one changed."""
+    return mine_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, F.col("vec_id") % 7 == 0)
+
+
+ORACLE_SQL["op12_turns"] = turns_sql()
+ORACLE_SQL["op13_negatives"] = negatives_sql()
 ORACLE_SQL["op6_urls"] = urls_sql()
 ORACLE_SQL["op3_licenses"] = licenses_sql()
 QUERIES["pipeline"] = corpus_pipeline.run
