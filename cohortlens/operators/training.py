@@ -9,7 +9,7 @@ the rows of a fold are read once, not once per algorithm.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -44,6 +44,22 @@ def scopes_of(registry: Registry, attributes: Iterable[str] | None = None) -> li
     return [Scope(ALL, ALL), *[Scope(g.attribute, g.name, g) for g in registry.active(attributes)]]
 
 
+@dataclass(frozen=True)
+class Part:
+    """A training part: everyone in a scope, without outer fold ``held_out`` and without fold ``fold`` of ``name``."""
+
+    attribute: str
+    grp: str
+    outcome: str
+    name: str
+    held_out: int = -1
+    fold: int = -1
+
+
+#: fits that were made beforehand, by algorithm and part
+Ready = Mapping[tuple[str, Part], Fitted]
+
+
 @dataclass
 class FoldPlan:
     """Where the folds of every scope and outcome end, and how many rows of each class they hold.
@@ -157,12 +173,22 @@ def _tag(df: DataFrame, **values) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in values.items()})
 
 
+def _submit(pool: ThreadPoolExecutor, ready: Ready | None, at: Part, fit, a: Algorithm, *arguments) -> Future:
+    """A fit that is ready, or one that the pool makes."""
+    known = (ready or {}).get((a.name, at))
+    if known is None:
+        return pool.submit(fit, a, *arguments)
+    done: Future = Future()
+    done.set_result(known)
+    return done
+
+
 def train_scope(
     scope: Scope, outcome: str, train: DataFrame, test: DataFrame, plan: FoldPlan, algos: Sequence[Algorithm],
     settings: ModelSettings, n_features: int, pool: ThreadPoolExecutor, calibrated_cv: bool = True,
-    keep_test: Sequence[str] = (),
+    keep_test: Sequence[str] = (), ready: Ready | None = None,
 ) -> ScopeScores:
-    """Fit everything one scope and outcome needs.
+    """Fit everything one scope and outcome needs, but for what is ``ready``.
 
     Per algorithm: k CV fits, one final fit, two fits on the halves for the final
     calibrators and, with ``calibrated_cv``, two per outer fold. Both calibrators
@@ -175,13 +201,14 @@ def train_scope(
                   for h in [-1, *(range(n_outer) if calibrated_cv else ())]}
     part = lambda h: train if h < 0 else train.where(outer_fold != h)
 
-    def start(a: Algorithm, rows: DataFrame, counts: tuple[int, int]):
-        return pool.submit(fit, a, rows, counts, n_features, settings)
+    def start(a: Algorithm, rows: DataFrame, counts: tuple[int, int], *named) -> Future:
+        at = Part(*scope.key, outcome, *named)
+        return _submit(pool, ready, at, fit, a, rows, counts, n_features, settings)
 
-    cv = {(f, a.name): start(a, train.where(cv_fold != f), plan.rest("cv", scope, outcome, f))
+    cv = {(f, a.name): start(a, train.where(cv_fold != f), plan.rest("cv", scope, outcome, f), "cv", -1, f)
           for f in range(k) for a in algos}
-    final = {a.name: start(a, train, plan.total(scope, outcome)) for a in algos}
-    halves = {(h, i, a.name): start(a, part(h).where(inner_fold[h] != i), plan.rest("inner", scope, outcome, i, h))
+    final = {a.name: start(a, train, plan.total(scope, outcome), "final") for a in algos}
+    halves = {(h, i, a.name): start(a, part(h).where(inner_fold[h] != i), plan.rest("inner", scope, outcome, i, h), "inner", h, i)
               for h in inner_fold for i in range(2) for a in algos}
     cv, final, halves = ({key: job.result() for key, job in jobs.items()} for jobs in (cv, final, halves))
 
@@ -222,13 +249,13 @@ def train_scope(
 
 def vote_cv_scores(
     scope: Scope, outcome: str, train: DataFrame, plan: FoldPlan, algos: Sequence[Algorithm],
-    settings: ModelSettings, n_features: int, pool: ThreadPoolExecutor,
+    settings: ModelSettings, n_features: int, pool: ThreadPoolExecutor, ready: Ready | None = None,
 ) -> DataFrame:
     """Held-out scores of ensemble members over the outer folds. A vote adds no fit of its own."""
     fold = plan.column("outer", scope, outcome)
     k = plan.sizes["outer"]
-    jobs = {(f, a.name): pool.submit(fit, a, train.where(fold != f), plan.rest("outer", scope, outcome, f),
-                                     n_features, settings) for f in range(k) for a in algos}
+    jobs = {(f, a.name): _submit(pool, ready, Part(*scope.key, outcome, "outer", -1, f), fit, a, train.where(fold != f),
+                                 plan.rest("outer", scope, outcome, f), n_features, settings) for f in range(k) for a in algos}
     fitted = {key: job.result() for key, job in jobs.items()}
     names = [a.name for a in algos]
     rows = _union([

@@ -15,6 +15,7 @@ from cohortlens.functions.order import order_key
 from cohortlens.operators.calibration import apply_calibrators, fit_calibrators
 from cohortlens.operators.cohort import CohortSpec, derive, feature_table, fit_cohort_levels
 from cohortlens.operators.features import fit_fill_values
+from cohortlens.operators import linear
 from cohortlens.operators.metrics import cv_summary, cv_wide, fold_scores, prevalence, reliability_curve
 from cohortlens.operators.models import Algorithm, Fitted, ModelSettings, algorithms, score_col
 from cohortlens.operators.selection import SELECTION_METRIC, runners_up, union_all
@@ -81,6 +82,7 @@ class Study:
     #: scores of this run only, so that a repeated study does not add to an earlier one's
     work: str
     final: dict[tuple, Fitted] = field(default_factory=dict)
+    ready: dict[tuple, Fitted] = field(default_factory=dict)
 
     @property
     def outcomes(self) -> list[str]:
@@ -129,9 +131,39 @@ def _work(study: Study, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in ("attribute", "grp", "outcome")})
 
 
+def _feature_fill(study: Study) -> dict[tuple[str, str], list[float]]:
+    """Value of every feature that stands for a missing one: the scope's median, 0 for indicators and empty columns."""
+    value = lambda fill, c: 0.0 if fill.get(c) is None else float(fill[c])
+    return {key: [value(fill, c) for c in study.features] for key, fill in study.fill.items()}
+
+
+def _linear_parts(study: Study, parts: Sequence[linear.Part]) -> tuple[DataFrame, dict]:
+    """Training rows with their folds, and coefficients of all parts."""
+    rows = linear.stored_rows(read_split(study.table, "train"), study.features, study.outcomes, study.plan, study.scopes)
+    return rows, linear.fit_together(rows, parts, study.scopes, study.outcomes, study.plan, _feature_fill(study), study.spec.settings)
+
+
+def fit_linear(study: Study) -> None:
+    """All logistic regressions of the study at once; they learn from all rows, whatever ``max_fit_rows`` says."""
+    spec = study.spec
+    if any(a.name == linear.NAME for a in study.algos):
+        parts = linear.study_parts(study.plan, study.scopes, study.outcomes, spec.calibrated_cv, spec.ensemble_cv)
+        study.ready.update(linear.fitted_models(_linear_parts(study, parts)[1]))
+
+
+def linear_cv_scores(study: Study) -> DataFrame:
+    """Cross-validated scores of logistic regression in every scope and outcome: one job a Newton step, one to score."""
+    parts = [p for p in linear.study_parts(study.plan, study.scopes, study.outcomes, False, False) if p.name == "cv"]
+    rows, coefficients = _linear_parts(study, parts)
+    scored = linear.held_out_scores(rows, coefficients, study.scopes, study.outcomes, study.plan, _feature_fill(study))
+    keys = ["attribute", "grp", "outcome"]
+    return cv_summary(fold_scores(scored, keys), keys)
+
+
 def train_all(study: Study) -> None:
     """Train every scope and outcome and store the scores. Vectors of one scope are cached at a time."""
     spec = study.spec
+    fit_linear(study)
     with ThreadPoolExecutor(spec.parallel_fits) as pool:
         for scope in study.scopes:
             train = cached(study.vectors(scope, "train"))
@@ -141,6 +173,7 @@ def train_all(study: Study) -> None:
                     got = train_scope(
                         scope, outcome, study.labelled(train, outcome), study.labelled(test, outcome, study.carry),
                         study.plan, study.algos, spec.settings, len(study.features), pool, spec.calibrated_cv, study.carry,
+                        study.ready,
                     )
                     for name, df in (("cv", got.cv), ("halves", got.calibration_fit),
                                      ("outer", got.calibration_apply), ("test", got.test)):
@@ -255,7 +288,7 @@ def _vote_cv(study: Study, weights: Mapping[tuple[str, str], Mapping[str, int]],
                     mine = {k: w for k, w in weights.items() if k[0] == outcome}
                     used = [a for a in study.algos if any(a.name in w for w in mine.values())]
                     rows = vote_cv_scores(scope, outcome, study.labelled(train, outcome), study.plan, used,
-                                          study.spec.settings, len(study.features), pool)
+                                          study.spec.settings, len(study.features), pool, study.ready)
                     entries = F.array(*[
                         F.struct(F.lit(e).alias("ensemble"), soft_score(w).alias("p")) for (_, e), w in mine.items()
                     ])
