@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog import sql as S
 from cohortlens.catalog.base import query
-from cohortlens.operators.calibration import apply_calibrators, apply_isotonic, fit_calibrators, fit_isotonic
+from cohortlens.operators.calibration import apply_calibrators, apply_isotonic, fit_calibrators, fit_isotonic, fit_sigmoid
 from cohortlens.operators.cohort import derive
 from cohortlens.operators.metrics import (
     CV_METRICS, EVALUATION_METRICS, cv_summary, fold_scores, prevalence, reliability_curve, roc_auc, scorer_metrics,
@@ -189,6 +189,41 @@ def calibrated(spark, folder):
     return rounded(scored.select("row_id", "outcome", "p", "yhat"), ["p"])
 
 
+@query("q_sigmoid", f"""
+WITH RECURSIVE {_TRAIN_LONG}, {S.folds('long', 'fit', 2, 'outcome, algorithm')}, {S.sigmoid('fit', 'sig', 'outcome, algorithm, fold')}
+SELECT outcome, algorithm, fold AS "inner", round(a, 6) AS a, round(b, 6) AS b FROM sig""")
+def sigmoids(spark, folder):
+    """Platt's sigmoid of every scorer and outcome on either half of the training part, all fitted together."""
+    fit_rows = inner_folds(train_long(spark, folder), "y", TAGS)
+    return rounded(fit_sigmoid(fit_rows, [*TAGS, "inner"], score="p"), ["a", "b"])
+
+
+@query("q_three_calibrations", f"""
+WITH RECURSIVE {S.SCORED}, {S.unpivot('scored')}, one AS (SELECT * FROM long WHERE algorithm = 'b'),
+train AS (SELECT * FROM one WHERE NOT is_test), test AS (SELECT * FROM one WHERE is_test),
+{S.folds('train', 'fit', 2, 'outcome')}, {S.isotonic('fit', 'iso', 'outcome, fold')}, {S.sigmoid('fit', 'sig', 'outcome, fold')},
+both_inner AS (SELECT test.*, f.fold FROM test, (SELECT 0 AS fold UNION ALL SELECT 1) f),
+{S.apply_isotonic('iso', 'both_inner', 'cal', 'outcome, fold')},
+variants AS (
+  SELECT row_id, outcome, 'raw' AS calibration, y, p FROM test
+  UNION ALL SELECT row_id, outcome, 'isotonic', y, avg(v) FROM both_inner JOIN cal USING (outcome, fold, p) GROUP BY row_id, outcome, y
+  UNION ALL SELECT row_id, outcome, 'sigmoid', y, avg(1.0::DOUBLE / (1.0::DOUBLE + exp(a * p + b)))
+            FROM both_inner JOIN sig USING (outcome, fold) GROUP BY row_id, outcome, y)
+SELECT row_id, outcome, calibration, y, round(p, 6) AS p, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS yhat FROM variants""")
+def three_calibrations(spark, folder):
+    """Raw, sigmoid and isotonic predictions of scorer b on every test row and outcome."""
+    df = split_train_test(C.scored_orders(spark, folder))
+    fit_rows = inner_folds(
+        long_by_outcome(read_split(df, "train"), ["y1", "y2"], ["b"], ["row_id"]), "y", ["outcome"])
+    test = long_by_outcome(read_split(df, "test"), ["y1", "y2"], ["b"], ["row_id"])
+    fitted = fit_calibrators(fit_rows.withColumnRenamed("p", "score"), ["outcome"])
+    pairs = test.select("row_id", "outcome", "y", F.col("p").alias("s0"), F.col("p").alias("s1"))
+    again = apply_calibrators(pairs, fitted, ["outcome"], ["s0", "s1"])
+    raw = test.withColumn("calibration", F.lit("raw"))
+    columns = ["row_id", "outcome", "calibration", "y", "p", "yhat"]
+    return rounded(union_all([raw.select(*columns), again.select(*columns)]), ["p"])
+
+
 # --- votes ----------------------------------------------------------------
 
 _EVEN = {"a": 1, "b": 2, "c": 1}

@@ -187,3 +187,57 @@ def apply_isotonic(fitted: str, scores: str, name: str, keys: str) -> str:
         ELSE a.v + (b.v - a.v) * (q.p - s0) / (s1 - s0) END AS v
       FROM {name}_q q LEFT JOIN {fitted} a ON {eq('q', 'a')} AND a.s = s0
       LEFT JOIN {fitted} b ON {eq('q', 'b')} AND b.s = s1)"""
+
+
+def sigmoid(source: str, name: str, keys: str, steps: int = 40) -> str:
+    """CTEs ``keys, a, b``: Newton's method on Platt's loss with his smoothed targets, one recursion a step."""
+    ks = [c.strip() for c in keys.split(",")]
+    sel = lambda t: ", ".join(f"{t}.{c}" for c in ks)
+    on = " AND ".join(f"i.{c} = t.{c}" for c in ks)
+    z = "(i.a * t.s + i.b)"
+    # 1 / (1 + e^z) without overflow on either side
+    p = f"(CASE WHEN {z} >= 0 THEN exp(-{z}) / (1.0::DOUBLE + exp(-{z})) ELSE 1.0::DOUBLE / (1.0::DOUBLE + exp({z})) END)"
+    return f"""
+{name}_t AS (SELECT {keys}, p AS s, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM {source} GROUP BY {keys}, p),
+{name}_n AS (SELECT {keys}, (sum(pos) + 1.0::DOUBLE) / (sum(pos) + 2.0::DOUBLE) AS hi, 1.0::DOUBLE / (sum(neg) + 2.0::DOUBLE) AS lo,
+               ln((sum(neg) + 1.0::DOUBLE) / (sum(pos) + 1.0::DOUBLE)) AS b0 FROM {name}_t GROUP BY {keys}),
+{name}_w AS (SELECT {sel('t')}, t.s, t.pos + t.neg AS n, t.pos * i.hi + t.neg * i.lo AS target FROM {name}_t t JOIN {name}_n i ON {on}),
+{name}_i AS (
+  SELECT {keys}, CAST(0 AS BIGINT) AS step, 0.0::DOUBLE AS a, b0 AS b FROM {name}_n
+  UNION ALL
+  SELECT {keys}, step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT {sel('i')}, i.step, i.a, i.b, sum((t.target - t.n * {p}) * t.s) AS ga, sum(t.target - t.n * {p}) AS gb,
+               sum(t.n * {p} * (1 - {p}) * t.s * t.s) AS haa, sum(t.n * {p} * (1 - {p}) * t.s) AS hab, sum(t.n * {p} * (1 - {p})) AS hbb
+        FROM {name}_i i JOIN {name}_w t ON {on} WHERE i.step < {steps} GROUP BY {sel('i')}, i.step, i.a, i.b)),
+{name} AS (SELECT {keys}, a, b FROM {name}_i WHERE step = {steps})"""
+
+
+def logistic(source: str, name: str, keys: str, steps: int = 40) -> str:
+    """CTEs ``keys, w1, w2, w0``: Newton's method on log loss of two features and an intercept, plus half their squared weights.
+
+    ``source`` has ``keys, x1, x2, y``. The 3 x 3 system of a step is solved by cofactors.
+    """
+    ks = [c.strip() for c in keys.split(",")]
+    sel = lambda t: ", ".join(f"{t}.{c}" for c in ks)
+    on = " AND ".join(f"i.{c} = t.{c}" for c in ks)
+    z = "(i.w1 * t.x1 + i.w2 * t.x2 + i.w0)"
+    p = f"(CASE WHEN {z} >= 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-{z})) ELSE exp({z}) / (1.0::DOUBLE + exp({z})) END)"
+    w = f"t.n * {p} * (1 - {p})"
+    d = f"(t.n * {p} - t.pos)"
+    sums = {"g1": f"{d} * t.x1", "g2": f"{d} * t.x2", "g0": d, "s11": f"{w} * t.x1 * t.x1", "s12": f"{w} * t.x1 * t.x2",
+            "s22": f"{w} * t.x2 * t.x2", "h10": f"{w} * t.x1", "h20": f"{w} * t.x2", "h00": w}
+    return f"""
+{name}_t AS (SELECT {keys}, x1, x2, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM {source} GROUP BY {keys}, x1, x2),
+{name}_i AS (
+  SELECT DISTINCT {keys}, CAST(0 AS BIGINT) AS step, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w0 FROM {name}_t
+  UNION ALL
+  SELECT {keys}, step + 1,
+         w1 - (c11 * (g1 + w1) + c12 * (g2 + w2) + c10 * g0) / (h11 * c11 + h12 * c12 + h10 * c10),
+         w2 - (c12 * (g1 + w1) + c22 * (g2 + w2) + c20 * g0) / (h11 * c11 + h12 * c12 + h10 * c10),
+         w0 - (c10 * (g1 + w1) + c20 * (g2 + w2) + c00 * g0) / (h11 * c11 + h12 * c12 + h10 * c10)
+  FROM (SELECT *, h22 * h00 - h20 * h20 AS c11, h10 * h20 - h12 * h00 AS c12, h12 * h20 - h10 * h22 AS c10,
+               h11 * h00 - h10 * h10 AS c22, h10 * h12 - h11 * h20 AS c20, h11 * h22 - h12 * h12 AS c00
+        FROM (SELECT *, s11 + 1.0::DOUBLE AS h11, s12 AS h12, s22 + 1.0::DOUBLE AS h22
+              FROM (SELECT {sel('i')}, i.step, i.w1, i.w2, i.w0, {', '.join(f'sum({e}) AS {c}' for c, e in sums.items())}
+                    FROM {name}_i i JOIN {name}_t t ON {on} WHERE i.step < {steps} GROUP BY {sel('i')}, i.step, i.w1, i.w2, i.w0)))),
+{name} AS (SELECT {keys}, w1, w2, w0 FROM {name}_i WHERE step = {steps})"""

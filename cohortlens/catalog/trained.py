@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortlens.catalog import sql as S
 from cohortlens.catalog.base import query
-from cohortlens.operators.cohort import derive, feature_table, fit_cohort_levels
+from cohortlens.operators.cohort import CohortSpec, derive, feature_table, fit_cohort_levels
 from cohortlens.operators.features import assemble, impute
 from cohortlens.operators.metrics import EVALUATION_METRICS, roc_auc, subgroup_metrics
 from cohortlens.operators.models import ALGORITHMS, ModelSettings, algorithms, fit, score_all
@@ -16,7 +18,7 @@ from cohortlens.operators.training import cached
 from cohortlens.plans import cohorts as C
 from cohortlens.plans import study as ST
 from cohortlens.plans.evaluation import by_model
-from cohortlens.session import materialize
+from cohortlens.session import local_table, materialize
 from cohortlens.sources import read_split
 
 #: models keep their usual settings and are fitted on a seeded sample of at most about so many rows; all rows are scored
@@ -91,6 +93,36 @@ def calibrated_cross_validation(spark, folder):
     return ST.cv_scores(study, ST.calibrators(study))
 
 
+_TWO = CohortSpec(row_id="row_id", numeric=("disc", "qty"), categorical={}, outcomes=C.ORDER_SPEC.outcomes, carry=C.ORDER_ATTRIBUTES)
+
+_TWO_ROWS = f"""
+train AS (SELECT * FROM split WHERE NOT is_test), {S.member('train')},
+filled AS (SELECT m.row_id, m.okey, m.attribute, m.grp, m.y1, m.y2, coalesce(m.disc, f.disc) AS x1, coalesce(m.qty, f.qty) AS x2
+  FROM member m JOIN (SELECT attribute, grp, median(disc) AS disc, median(qty) AS qty FROM member GROUP BY attribute, grp) f USING (attribute, grp)),
+labelled AS (SELECT row_id, okey, attribute, grp, x1, x2, 'y1' AS outcome, y1 AS y FROM filled
+  UNION ALL SELECT row_id, okey, attribute, grp, x1, x2, 'y2', y2 FROM filled),
+{S.folds('labelled', 'f', 2, 'attribute, grp, outcome')},
+parts AS (SELECT attribute, grp, outcome, x1, x2, y, -1 AS left_out FROM f
+  UNION ALL SELECT attribute, grp, outcome, x1, x2, y, CAST(h AS INTEGER) FROM f, range(2) t(h) WHERE h <> fold)"""
+
+
+@query("q_log_reg", f"""
+WITH RECURSIVE {S.SPLIT}, {_TWO_ROWS}, {S.logistic('parts', 'lr', 'attribute, grp, outcome, left_out')}
+SELECT attribute, grp, outcome, left_out, round(w1, 6) AS w_disc, round(w2, 6) AS w_qty, round(w0, 6) AS intercept FROM lr""")
+def log_reg_parts(spark, folder):
+    """Logistic regression on two features in every scope and outcome: on all training rows and on either half, in one go."""
+    study = ST.prepare(C.orders_cohort(spark, folder), ST.StudySpec(_TWO, C.ORDER_REGISTRY, algorithms=("log-reg",), calibrated_cv=False))
+    rows = [(p.attribute, p.grp, p.outcome, p.fold, *w.tolist()) for p, w in ST.linear_coefficients(study, ("final", "inner")).items()]
+    weights = ("w_disc", "w_qty", "intercept")
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in ("attribute", "grp", "outcome")], T.StructField("left_out", T.IntegerType()),
+                           *[T.StructField(c, T.DoubleType()) for c in weights]])
+    return _rounded(local_table(spark, rows, schema), weights)
+
+
+def _rounded(df, columns, places=6):
+    return df.select(*[F.round(c, places).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def _documents(**options):
     base = dict(algorithms=("dt", "log-reg", "gb"), attributes=("lang",), parallel_fits=8,
                 settings=ModelSettings(tree_depth=5, logistic_iterations=100, stump_rounds=10))

@@ -33,6 +33,8 @@ def fit_levels(
         # a null cell makes split() null, and flatten() of a null entry is null
         return F.coalesce(pairs, F.expr("cast(array() as array<struct<name:string,level:string>>)"))
 
+    if not columns:
+        return {}
     pairs = F.flatten(F.array(*[named(c) for c in columns]))
     found = (
         df.select(F.explode(pairs).alias("e")).select("e.name", "e.level")

@@ -21,14 +21,24 @@ from cohortlens.session import local_table, settled
 VARIANTS = ("raw", "sigmoid", "isotonic")
 
 
-def _score_counts(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
-    """Positives and negatives per distinct score: all that either calibrator needs."""
+def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
+    """Positives and negatives per distinct score: all that either calibrator needs.
+
+    The counts are whole numbers, so they are exact in any order of summation. Store the
+    table and give it to both calibrators: the scored rows are then read once.
+    """
     usable = df.where(~F.isnan(F.col(score).cast("double")))
-    return usable.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(
+    # 0.0 + x: minus zero is the same score as zero
+    return usable.groupBy(*keys, (F.col(score).cast("double") + F.lit(0.0)).alias("_s")).agg(
         F.sum(F.col(y).cast("double")).alias("_pos"), F.sum(1 - F.col(y).cast("double")).alias("_neg")
     )
 
 
+def _counted(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
+    """``df`` itself if it already holds score counts."""
+    return df if {"_s", "_pos", "_neg"} <= set(df.columns) else score_counts(df, keys, score, y)
+
+
 # --- sigmoid --------------------------------------------------------------
 
 def fit_sigmoid(
@@ -39,10 +49,11 @@ def fit_sigmoid(
     Newton's method for all keys together: a pass is one aggregate (loss, gradient
     and curvature per key), and only two numbers per key travel between passes. A
     step that does not lower the loss is halved. A key with one class keeps a = 0.
+    ``df`` holds scored rows or their :func:`score_counts`.
     """
     keys = list(keys)
     spark = df.sparkSession
-    counts = _score_counts(df, keys, score, y).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = _counted(df, keys, score, y).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = counts.groupBy(*keys).agg(F.sum("_pos").alias("np"), F.sum("_neg").alias("nn")).collect()
         state = {}
@@ -118,7 +129,7 @@ def _newton_step(s: dict, r, tol: float) -> None:
 
 
 def apply_sigmoid(df: DataFrame, fitted: DataFrame, keys: Sequence[str], score: str = "score", out: str = "p") -> DataFrame:
-    """Add the calibrated probability. The fitted table is small, so the join needs no shuffle of ``df``."""
+    """Add the calibrated probability. Spark broadcasts the fitted table while it is small, else joins by key."""
     cols = df.columns
     joined = df.join(fitted, list(keys)) if keys else df.join(F.broadcast(fitted))  # one parameter row
     return joined.select(*cols, (1 / (1 + F.exp(F.col("a") * F.col(score) + F.col("b")))).alias(out))
@@ -145,9 +156,10 @@ def fit_isotonic(df: DataFrame, keys: Sequence[str], score: str = "score", y: st
     over it; a second, per-key pass pools the blocks that are left. Pooling in two
     steps gives the same fit as pooling once, wherever the cuts fall. With 0/1
     labels, m scores leave at most order m**(2/3) blocks, so the second pass is small.
+    ``df`` holds scored rows or their :func:`score_counts`.
     """
     keys = list(keys)
-    counts = _score_counts(df, keys, score, y).select(
+    counts = _counted(df, keys, score, y).select(
         *keys, F.col("_s").alias("lo"), F.col("_s").alias("hi"),
         (F.col("_pos") + F.col("_neg")).alias("w"), F.col("_pos").alias("s"),
     )
@@ -236,14 +248,16 @@ def fit_calibrators(
 ) -> DataFrame:
     """All calibrators of a model in one row: ``keys, a_0, b_0, xs_0, ys_0, a_1, ...``.
 
-    ``df`` is long: ``keys, inner, score, y`` with held-out scores.
+    ``df`` is long: ``keys, inner, score, y`` with held-out scores. It is read once, for
+    the counts that all methods share.
     """
     parts = []
+    counts = settled(score_counts(df, [*keys, inner]), "scores")
     for method in methods:
         if method == "sigmoid":
-            fitted, columns = fit_sigmoid(df, [*keys, inner]), ("a", "b")
+            fitted, columns = fit_sigmoid(counts, [*keys, inner]), ("a", "b")
         elif method == "isotonic":
-            fitted, columns = fit_isotonic(df, [*keys, inner]), ("xs", "ys")
+            fitted, columns = fit_isotonic(counts, [*keys, inner]), ("xs", "ys")
         else:
             raise ValueError(f"unknown calibration {method!r}")
         parts.append(fitted.groupBy(*keys).agg(*[

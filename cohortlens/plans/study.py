@@ -151,6 +151,12 @@ def fit_linear(study: Study) -> None:
         study.ready.update(linear.fitted_models(_linear_parts(study, parts)[1]))
 
 
+def linear_coefficients(study: Study, names: Sequence[str]) -> dict[linear.Part, Sequence[float]]:
+    """Coefficients, the intercept last, of the named kinds of parts (``final``, ``cv``, ``inner``, ``outer``) in all scopes."""
+    parts = linear.study_parts(study.plan, study.scopes, study.outcomes, study.spec.calibrated_cv, study.spec.ensemble_cv)
+    return _linear_parts(study, [p for p in parts if p.name in names])[1]
+
+
 def linear_cv_scores(study: Study) -> DataFrame:
     """Cross-validated scores of logistic regression in every scope and outcome: one job a Newton step, one to score."""
     parts = [p for p in linear.study_parts(study.plan, study.scopes, study.outcomes, False, False) if p.name == "cv"]
