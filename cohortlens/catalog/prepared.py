@@ -8,7 +8,8 @@ from cohortlens.catalog import sql as S
 from cohortlens.catalog.base import query
 from cohortlens.functions import KeywordRule, equals_flag, fit_levels, keyword_bucket, member_flag, one_hot_columns
 from cohortlens.operators.cohort import derive, feature_table, fit_cohort_levels
-from cohortlens.operators.features import fit_fill_values, impute, outside_range, standardize
+from cohortlens.operators.features import impute, outside_range, standardize
+from cohortlens.operators.orderstats import group_medians
 from cohortlens.operators.split import inner_folds, split_train_test, stratified_folds
 from cohortlens.operators.subgroups import membership_table, with_membership
 from cohortlens.plans import cohorts as C
@@ -200,8 +201,7 @@ WITH {S.SPLIT}, train AS (SELECT * FROM split WHERE NOT is_test), {S.member('tra
 SELECT attribute, grp, {', '.join(f'round(median({c}), 6) AS {c}' for c in _NUM)} FROM member GROUP BY attribute, grp""")
 def scope_medians(spark, folder):
     train = read_split(split_train_test(_labelled(spark, folder)), "train")
-    rows = with_membership(train, C.ORDER_REGISTRY, whole=True)
-    return _rounded(fit_fill_values(rows, _NUM, "median", ["attribute", "grp"]), _NUM)
+    return _rounded(group_medians(train, _NUM, C.ORDER_REGISTRY), _NUM)
 
 
 @query("q_standardize", f"""

@@ -20,7 +20,7 @@ def fit_fill_values(
     pass with a rank error of ``1 / accuracy``.
     """
     if strategy == "median":
-        return exact_medians(df, columns, keys, accuracy)
+        return exact_medians(df, columns, keys)
     if strategy == "mean":
         return df.groupBy(*keys).agg(*[F.avg(present(c)).alias(c) for c in columns])
     if strategy == "approx_median":

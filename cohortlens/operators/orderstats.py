@@ -1,16 +1,21 @@
 """Exact order statistics without sorting everything in one place.
 
-Two tools share one idea: count first, then rank only the few rows that can be
-the answer. Both work per key, so many groups are served by the same pass.
+All tools share one idea: count first, then look only at the few rows that can be
+the answer. They work per key, so many groups are served by the same pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortlens.operators.subgroups import Registry, member_pattern, spread_pattern
 from cohortlens.session import settled
 
 
@@ -73,62 +78,126 @@ def present(column: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def exact_medians(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), accuracy: int = 10_000
-) -> DataFrame:
-    """Exact median of each column per key, ignoring nulls and NaN; null where all values are.
+#: bits of an ordered code that one pass over the rows decides
+DIGIT_BITS = 16
+_SIGN = np.int64(np.iinfo(np.int64).max)
+
+
+def _flip(bits: np.ndarray) -> np.ndarray:
+    """Between a double's bits and the whole number that orders like it; its own inverse."""
+    return np.where(bits < 0, bits ^ _SIGN, bits)
+
+
+def ordered_codes(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``keep`` and ``codes``, one 64-bit whole number per column that orders like the value; null and NaN give null."""
+    rows = df.select(*keep, *[(present(c) + F.lit(0.0)).alias(f"_v_{i}") for i, c in enumerate(columns)])
+    schema = T.StructType([*[rows.schema[c] for c in keep], *[T.StructField(f"_v_{i}", T.LongType()) for i in range(len(columns))]])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [batch.column(c) for c in keep]
+            for i in range(len(columns)):
+                v = batch.column(f"_v_{i}")
+                bits = v.fill_null(0.0).to_numpy(zero_copy_only=False).view(np.int64)
+                out.append(pa.array(_flip(bits), mask=v.is_null().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return rows.mapInArrow(encode, schema).select(*keep, F.array(*[f"_v_{i}" for i in range(len(columns))]).alias("codes"))
+
+
+def _decoded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, _c, _v``: the value of each code in ``code``."""
+    rows = df.select(*keys, "_c", "rank", "code")
+    schema = T.StructType([*[rows.schema[c] for c in (*keys, "_c", "rank")], T.StructField("_v", T.DoubleType())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = _flip(batch.column("code").to_numpy()).view(np.float64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "_c", "rank")), pa.array(values)], names=schema.names)
+
+    return rows.mapInArrow(decode, schema)
 
-    ``F.median`` is exact too, but gathers every distinct value of a group in one
-    task. Here a quantile sketch first brackets the median of all columns in one
-    pass. The second pass counts what lies below the bracket and tallies only the
-    values inside it, about ``4 / accuracy`` of the rows.
 
-    Raise ``accuracy`` with the data so that a bracket stays small.
+def _middle_values(codes: DataFrame, keys: Sequence[str], spread=None) -> DataFrame:
+    """``keys, _c, rank, code``: the codes at both middle ranks of every key and column, by radix selection.
+
+    ``codes`` has rows of ``cell`` columns and ``codes``; ``spread`` turns a table by cell into one by ``keys``
+    (a cell is then a membership pattern), so that the first pass counts every row once.
+    Each pass counts the next 16 bits of the codes that share the bits known so far; a key
+    and column has at most 65,536 counters, and they are all that its task holds.
     """
     keys = list(keys)
-    step = 2.0 / accuracy
-    sketches = df.groupBy(*keys).agg(*[
-        F.percentile_approx(present(c), [0.5 - step, 0.5 + step], accuracy).alias(f"_k_{i}")
-        for i, c in enumerate(columns)
-    ])
-    brackets = sketches.select(*keys, F.array(*[
-        F.struct(F.lit(i).alias("_c"), F.get(f"_k_{i}", F.lit(0)).alias("_lo"), F.get(f"_k_{i}", F.lit(1)).alias("_hi"))
-        for i in range(len(columns))
-    ]).alias("_brackets"))
-    # one row per key, fetched: with a known size the join needs no shuffle of the rows by key
-    if keys:
-        joined = df.join(settled(brackets), keys)
-        bracket = F.col("_brackets")
-    else:
-        joined = df
-        bracket = brackets.select("_brackets").scalar()
-    values = F.array(*[present(c) for c in columns])
-    long = (
-        joined.select(*keys, F.posexplode(F.arrays_zip(values.alias("v"), bracket.alias("b"))).alias("_c", "_z"))
-        .select(*keys, "_c", F.col("_z.v").alias("_v"), F.col("_z.b._lo").alias("_lo"), F.col("_z.b._hi").alias("_hi"))
-        .where(F.col("_v").isNotNull())
-        # everything outside the bracket shares one tally row on its side
-        .select(*keys, "_c", F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1)
-                .otherwise(0).alias("_side"), F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v")).alias("_v"))
-    )
-    tally = long.groupBy(*keys, "_c", "_side", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.partitionBy(*keys, "_c").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys, "_c")
-    ranked = tally.withColumn("_upto", F.sum("_n").over(up_to)).withColumn("_total", F.sum("_n").over(whole))
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-
-    def holds(rank: Column) -> Column:
-        return (rank > F.col("_upto") - F.col("_n")) & (rank <= F.col("_upto"))
-
-    # a rank that falls outside the bracket would break the sketch's guarantee: fail, do not guess
-    picked = ranked.where(holds(low) | holds(high)).withColumn(
-        "_v", F.when(F.col("_side") == 0, F.col("_v")).otherwise(
-            F.raise_error(F.lit("median outside its bracket; raise accuracy")).cast("double"))
-    )
-    medians = picked.groupBy(*keys, "_c").agg(
-        ((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias("_m")
-    )
-    out = medians.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_c") == i, F.col("_m"))).alias(c) for i, c in enumerate(columns)
-    ])
-    return out
+    cell = [c for c in codes.columns if c != "codes"]
+    spread = spread or (lambda df: df)
+    long = codes.select(*cell, F.posexplode("codes").alias("_c", "code")).where(F.col("code").isNotNull())
+    at = [*keys, "_c"]
+    found: list[DataFrame] = []
+    open_: DataFrame | None = None
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        digit = F.shiftright("code", shift).alias("digit")
+        if open_ is None:
+            rows, by = long, []
+        else:
+            # only codes under a prefix that is still open; few, as the first bits tell most values apart
+            above = F.shiftright("code", shift + DIGIT_BITS)
+            prefixes = open_.select("_c", "prefix").distinct()
+            rows, by = long.withColumn("prefix", above).join(prefixes, ["_c", "prefix"], "left_semi"), ["prefix"]
+        cells = rows.groupBy(*cell, "_c", *by, digit).agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("low"), F.max("code").alias("high"))
+        hist = spread(cells).groupBy(*at, *by, "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        run = Window.partitionBy(*at, *by)
+        upto = F.sum("n").over(run.orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        if open_ is None:
+            total = hist.withColumn("upto", upto).withColumn("total", F.sum("n").over(run))
+            ranks = F.array(F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1)
+            wanted = total.select("*", F.posexplode(ranks).alias("rank", "_at"))
+        else:
+            same = [F.col(f"h.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*at, "prefix")]
+            wanted = hist.withColumn("upto", upto).alias("h").join(open_.alias("o"), reduce(lambda a, b: a & b, same)).select(
+                "h.*", "o.rank", F.col("o.inside").alias("_at"))
+        hit = wanted.where((F.col("_at") > F.col("upto") - F.col("n")) & (F.col("_at") <= F.col("upto"))).select(
+            *at, "rank", F.col("digit").alias("prefix"), (F.col("_at") - F.col("upto") + F.col("n")).alias("inside"), "low", "high")
+        hit = settled(hit)
+        # one value left under the prefix: it is the answer, whatever bits follow
+        found.append(hit.where("low = high").select(*at, "rank", F.col("low").alias("code")))
+        open_ = hit.where("low <> high").select(*at, "rank", "prefix", "inside")
+        if open_.isEmpty():
+            break
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _as_columns(middle: DataFrame, keys: Sequence[str], columns: Sequence[str], every: DataFrame | None) -> DataFrame:
+    values = _decoded(middle, keys)
+    half = lambda i, r: F.max(F.when((F.col("_c") == i) & (F.col("rank") == r), F.col("_v")))
+    medians = [((half(i, 0) + half(i, 1)) / 2).alias(c) for i, c in enumerate(columns)]
+    if every is None:
+        return values.agg(*medians)
+    # keys without any value have no row among the codes
+    nothing = every.select(*keys, F.lit(None).cast("int").alias("_c"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("_v"))
+    return values.unionByName(nothing).groupBy(*keys).agg(*medians)
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact median of each column per key, ignoring nulls and NaN; null where all values are.
+
+    ``F.median`` is exact too, but gathers every distinct value of a group in one task.
+    Here values become ordered 64-bit codes and both middle ranks are found by radix
+    selection, 16 bits a pass, all keys and columns together.
+    """
+    keys = list(keys)
+    codes = ordered_codes(df, keys, columns)
+    # codes are read by every pass; integers and short decimals need two
+    codes = settled(codes, "codes")
+    return _as_columns(_middle_values(codes, keys), keys, columns, codes.select(*keys).distinct() if keys else None)
+
+
+def group_medians(df: DataFrame, columns: Sequence[str], registry: Registry, attributes: Sequence[str] | None = None) -> DataFrame:
+    """Exact medians of everyone and of each subgroup: ``attribute, grp, ...``; a group without rows has none.
+
+    Rows are counted per membership pattern, so none is copied for the groups it is in.
+    """
+    groups = registry.active(attributes)
+    pattern = member_pattern(groups) if groups else F.lit("")
+    codes = settled(ordered_codes(df.withColumn("_in", pattern), ["_in"], columns), "codes")
+    keys = ["attribute", "grp"]
+    spread = lambda t: spread_pattern(t, groups, "_in")
+    return _as_columns(_middle_values(codes, keys, spread), keys, columns, spread(codes.select("_in").distinct()).distinct())

@@ -14,10 +14,10 @@ from cohortlens.functions.encode import slug
 from cohortlens.functions.order import order_key
 from cohortlens.operators.calibration import apply_calibrators, fit_calibrators
 from cohortlens.operators.cohort import CohortSpec, derive, feature_table, fit_cohort_levels
-from cohortlens.operators.features import fit_fill_values
 from cohortlens.operators import linear
 from cohortlens.operators.metrics import cv_summary, cv_wide, fold_scores, prevalence, reliability_curve
 from cohortlens.operators.models import Algorithm, Fitted, ModelSettings, algorithms, score_col
+from cohortlens.operators.orderstats import group_medians
 from cohortlens.operators.selection import SELECTION_METRIC, runners_up, union_all
 from cohortlens.operators.split import SPLIT_SEED, TEST_SHARE, split_train_test
 from cohortlens.operators.subgroups import ALL, Registry, with_membership
@@ -110,8 +110,7 @@ def prepare(df: DataFrame, spec: StudySpec, store: ResultStore | None = None) ->
     table = store.write("split", table.withColumn("okey", order_key("row_id", spec.seed)))
     train = read_split(table, "train")
     numeric = [slug(c) for c in spec.cohort.numeric]
-    members = with_membership(train, spec.registry, whole=True, attributes=spec.attributes)
-    rows = fit_fill_values(members, numeric, "median", ["attribute", "grp"]).collect()
+    rows = group_medians(train, numeric, spec.registry, spec.attributes).collect()
     sizes = {"population": spec.folds_population, "subgroup": spec.folds_subgroup, "outer": spec.folds_outer, "inner": 2}
     plan = plan_folds(train, spec.registry, list(spec.cohort.outcomes), sizes, spec.seed, spec.attributes, spec.calibrated_cv)
     fill = {(r["attribute"], r["grp"]): {c: r[c] for c in numeric} for r in rows}

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import order_key
 from cohortlens.operators.features import assemble, fit_fill_values, impute, outside_range, standardize
-from cohortlens.operators.orderstats import exact_medians
+from cohortlens.operators.orderstats import exact_medians, group_medians
+from cohortlens.operators.subgroups import Registry, Subgroup
 from cohortlens.operators.split import inner_folds, split_train_test, stratified_folds
 
 
@@ -80,15 +81,45 @@ def test_medians_are_exact_with_nulls_ties_and_groups(spark):
     b = np.where(rng.random(n) < 0.7, 0.0, rng.random(n))  # one value holds most rows
     rows = [("x" if i % 3 else "y", float(a[i]) if i % 10 else None, float(b[i]), None) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, a double, b double, empty double")
-    for accuracy in (100, 10_000):
-        got = exact_medians(df, ["a", "b", "empty"], ["g"], accuracy).orderBy("g").collect()
-        want = df.groupBy("g").agg(*[F.median(c) for c in ("a", "b", "empty")]).orderBy("g").collect()
-        assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    got = exact_medians(df, ["a", "b", "empty"], ["g"]).orderBy("g").collect()
+    want = df.groupBy("g").agg(*[F.median(c) for c in ("a", "b", "empty")]).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
     assert exact_medians(df, ["a"]).first()[0] == df.agg(F.median("a")).first()[0]
     four = spark.createDataFrame([(1.0,), (2.0,), (10.0,), (11.0,)], "v double")
     assert exact_medians(four, ["v"]).first()[0] == 6.0
 
 
+def test_medians_of_extreme_values(spark):
+    values = [-1e300, -2.5, -5e-324, -0.0, 0.0, 5e-324, 1 / 3, 2.5, 1e300, float("inf"), float("-inf"), 7.0]
+    rows = [(k, v) for k in range(1, len(values) + 1) for v in values[:k]] + [(None, 4.0), (0, None), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    got = {r["k"]: r["v"] for r in exact_medians(df, ["v"], ["k"]).collect()}
+    for k in range(1, len(values) + 1):
+        v = sorted(values[:k])
+        assert got[k] == (v[(k + 1) // 2 - 1] + v[k // 2]) / 2, k
+    assert got[None] == 4.0 and got[0] is None and len(got) == len(values) + 2
+    assert exact_medians(df.where("k < 0"), ["v"]).collect() == [(None,)]
+    # values that differ in their last bits only need every pass
+    close = [1 + i * 2.0**-52 for i in range(101)]
+    near = spark.createDataFrame([(x,) for x in close], "v double")
+    assert exact_medians(near, ["v"]).first()[0] == close[50]
+
+
+def test_group_medians_count_rows_by_pattern(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 4)), None if rng.random() < 0.3 else float(rng.normal()), float(rng.integers(0, 5))) for _ in range(700)]
+    df = spark.createDataFrame(rows, "g int, a double, b double").repartition(4)
+    registry = Registry((Subgroup("one", "low", "g < 2"), Subgroup("one", "zero", "g = 0"), Subgroup("two", "none", "g > 9"), Subgroup("two", "some", "g >= 1")))
+    got = {(r["attribute"], r["grp"]): (r["a"], r["b"]) for r in group_medians(df, ["a", "b"], registry).collect()}
+    want = {("all", "all"): "true", ("one", "low"): "g < 2", ("one", "zero"): "g = 0", ("two", "some"): "g >= 1"}
+    assert set(got) == set(want)
+    for key, condition in want.items():
+        assert got[key] == tuple(df.where(condition).agg(F.median("a"), F.median("b")).first())
+    assert set(group_medians(df, ["a"], registry, ()).select("grp").first()) == {"all"}
+    plan = group_medians(df, ["a"], registry)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Cartesian" not in plan
+
+
 def test_imputation_uses_training_values_only(spark):
     train = spark.createDataFrame([(1.0, None), (3.0, None), (None, None)], "a double, e double")
     test = spark.createDataFrame([(None, 5.0), (100.0, None)], "a double, e double")
