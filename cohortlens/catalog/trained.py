@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cohortlens.catalog import sql as S
 from cohortlens.catalog.base import query
+from cohortlens.operators import linear
 from cohortlens.operators.cohort import CohortSpec, derive, feature_table, fit_cohort_levels
 from cohortlens.operators.features import assemble, impute
 from cohortlens.operators.metrics import EVALUATION_METRICS, roc_auc, subgroup_metrics
@@ -119,6 +120,45 @@ def log_reg_parts(spark, folder):
     return _rounded(local_table(spark, rows, schema), weights)
 
 
+def _plan_sql() -> str:
+    """Folds of every scope and outcome by row numbers: population, subgroups, outer folds, halves, halves without an outer fold."""
+    keys = "attribute, grp, outcome"
+    named = lambda source, name, fold, held="-1": (
+        f"SELECT {keys}, '{name}' AS name, {held} AS held_out, {fold} AS fold, y, row_id FROM {source}")
+    return f"""
+WITH {S.SPLIT}, train AS (SELECT * FROM split WHERE NOT is_test), {S.member('train')},
+long AS (SELECT row_id, okey, attribute, grp, 'y1' AS outcome, y1 AS y FROM member
+  UNION ALL SELECT row_id, okey, attribute, grp, 'y2', y2 FROM member),
+everyone AS (SELECT * FROM long WHERE attribute = 'all'), grouped AS (SELECT * FROM long WHERE attribute <> 'all'),
+{S.folds('everyone', 'a', 3, keys)}, {S.folds('grouped', 'g', 2, keys)}, {S.folds('long', 'o', 5, keys)}, {S.folds('long', 'i', 2, keys)},
+parts AS (SELECT o.* EXCLUDE (fold), CAST(h AS INTEGER) AS held FROM o, range(5) t(h) WHERE h <> fold),
+{S.folds('parts', 'n', 2, keys + ', held')},
+every AS ({named('a', 'cv', 'fold')} UNION ALL {named('g', 'cv', 'fold')} UNION ALL {named('o', 'outer', 'fold')}
+  UNION ALL {named('i', 'inner', 'fold')} UNION ALL {named('n', 'inner', 'fold', 'held')})
+SELECT {keys}, name, held_out, fold, y, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM every GROUP BY ALL"""
+
+
+@query("q_fold_plan", _plan_sql())
+def fold_plan(spark, folder):
+    """All folds that a study trains on, found in two passes: rows and ids of each, by class."""
+    study = ST.prepare(C.orders_cohort(spark, folder), ST.StudySpec(_TWO, C.ORDER_REGISTRY, algorithms=("log-reg",)))
+    rows = linear.numbered_rows(read_split(study.table, "train"), study.features, study.outcomes, study.plan, study.scopes)
+    slots = linear.fold_slots(study.plan)
+    named = [(*s.key, o, i, *slot) for s in study.scopes for i, o in enumerate(study.outcomes) for slot in slots]
+    fields = [("attribute", T.StringType()), ("grp", T.StringType()), ("outcome", T.StringType()), ("place", T.IntegerType()),
+              ("name", T.StringType()), ("held_out", T.IntegerType()), ("slot", T.IntegerType()), ("outer", T.IntegerType())]
+    # every numbering knows its own place in a row's bytes, and that of the outer folds it belongs to
+    table = [(*x, n + 1, n - n % len(slots) + slots.index(("outer", -1)) + 1) for n, x in enumerate(named)]
+    numberings = local_table(spark, table, T.StructType([T.StructField(c, t) for c, t in fields]))
+    byte = lambda at: F.conv(F.hex(F.substring("folds", F.col(at), F.lit(1))), 16, 10).cast("int")
+    long = rows.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(len(named))))).join(F.broadcast(numberings), "slot").select(
+        "row_id", "attribute", "grp", "outcome", "name", "held_out", byte("slot").alias("fold"), byte("outer").alias("own"), F.get("y", "place").alias("y"))
+    # the numbers that a row of the held out fold has inside the part without it mean nothing
+    inside = (F.col("fold") != linear.OUTSIDE) & (F.col("own") != F.col("held_out"))
+    return long.where(inside).groupBy("attribute", "grp", "outcome", "name", "held_out", "fold", "y").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids"))
+
+
 def _rounded(df, columns, places=6):
     return df.select(*[F.round(c, places).alias(c) if c in columns else F.col(c) for c in df.columns])
 

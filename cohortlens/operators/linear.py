@@ -61,7 +61,7 @@ def part_counts(plan: FoldPlan, scope: Scope, part: Part) -> tuple[int, int]:
     return plan.rest(part.name, scope, part.outcome, part.fold, part.held_out)
 
 
-def _slots(plan: FoldPlan) -> list[tuple[str, int]]:
+def fold_slots(plan: FoldPlan) -> list[tuple[str, int]]:
     """The fold numberings that a row carries per scope and outcome."""
     nested = sorted({key[4] for key in plan.ends if key[0] == "inner"})
     return [("cv", -1), ("outer", -1), *[("inner", h) for h in nested]]
@@ -74,7 +74,7 @@ def numbered_rows(
 
     A row's folds are found once, by comparing its order key with the ends in ``plan``.
     """
-    slots = _slots(plan)
+    slots = fold_slots(plan)
     ends = {
         (s, o, k, label): np.array(e, "S32")
         for s, scope in enumerate(scopes) for o, outcome in enumerate(outcomes) for k, (name, held) in enumerate(slots)
@@ -179,7 +179,7 @@ def fit_together(
 
     ``fill`` has the value of every feature that stands for a missing one in a scope.
     """
-    slots = _slots(plan)
+    slots = fold_slots(plan)
     shape = (len(scopes), len(outcomes), len(slots))
     d = 1 + len(next(iter(fill.values())))
     fills = [np.array(fill[s.key], float) for s in scopes]
@@ -272,7 +272,7 @@ def held_out_scores(
 
     ``row_id, attribute, grp, outcome, fold, y, p, yhat``; ``p`` is NaN where the other folds hold one class.
     """
-    slots = _slots(plan)
+    slots = fold_slots(plan)
     shape = (len(scopes), len(outcomes), len(slots))
     fills = [np.array(fill[s.key], float) for s in scopes]
     d = 1 + len(fills[0])

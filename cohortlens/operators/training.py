@@ -12,16 +12,18 @@ from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import pairwise, permutations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.operators.features import assemble, filled
 from cohortlens.operators.models import Algorithm, Fitted, ModelSettings, fit, score_all, score_col
-from cohortlens.operators.split import fold_ends
-from cohortlens.operators.subgroups import ALL, Registry, Subgroup, with_membership
+from cohortlens.operators.subgroups import ALL, Registry, Subgroup, member_pattern, spread_pattern
 from cohortlens.operators.votes import p_col, yhat_col
+from cohortlens.session import local_table, settled
 
 Counts = dict[tuple, dict[int, int]]
 
@@ -103,10 +105,116 @@ class FoldPlan:
         return self.sizes[name]
 
 
-def _labelled_members(train: DataFrame, registry: Registry, outcomes: Sequence[str], attributes) -> DataFrame:
-    groups = with_membership(train, registry, whole=True, attributes=attributes)
-    entries = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in outcomes])
-    return groups.withColumn("_e", F.explode(entries)).select("okey", "attribute", "grp", "_e.outcome", "_e.y")
+#: hexadecimal digits of the order key by which one pass counts, and rows under a prefix that needn't be told apart by another pass
+PREFIX_DIGITS, FEW_ROWS = 3, 4096
+SCOPE_KEYS = ["attribute", "grp", "outcome", "y"]
+
+
+def _dealt(position: int, k: int, i: int) -> int:
+    """How many of the positions 0..position-1 go to the first ``i`` of ``k`` folds when dealt in turn."""
+    return position // k * i + min(position % k, i)
+
+
+def _end_ranks(sizes: Mapping[int, int], order: Sequence[int], k: int) -> dict[int, list[int]]:
+    """Ranks, per class, of the last rows of folds 0..k-2, and its size: classes are dealt one after the other."""
+    out, start = {}, 0
+    for label in order:
+        stop = start + sizes[label]
+        out[label] = [_dealt(stop, k, i) - _dealt(start, k, i) for i in range(1, k)] + [sizes[label]]
+        start = stop
+    return out
+
+
+class _Without:
+    """A class without the rows of one block of ranks: its size, and ranks in it as ranks in the whole class."""
+
+    def __init__(self, size: int, before: int, upto: int):
+        self.before, self.gone, self.size = before, upto - before, size - (upto - before)
+
+    def whole(self, rank: int) -> int:
+        return rank if rank <= self.before else rank + self.gone
+
+
+class _Ranks:
+    """All ranks that the folds of one scope and outcome need, given its classes' sizes and first keys."""
+
+    def __init__(self, classes: Mapping[int, tuple[int, int]], sizes: Mapping[str, int], whole: bool, nested: bool):
+        self.sizes = {label: n for label, (n, _) in classes.items()}
+        order = sorted(self.sizes, key=lambda label: (classes[label][1], label))
+        k = {"cv": sizes["population" if whole else "subgroup"], "outer": sizes["outer"], "inner": 2}
+        self.ends = {(name, -1): _end_ranks(self.sizes, order, k[name]) for name in k}
+        self.parts: dict[int, dict[int, _Without]] = {}
+        if nested:
+            for h in range(sizes["outer"]):
+                cut = {label: [0, *ends] for label, ends in self.ends["outer", -1].items()}
+                part = {label: _Without(n, cut[label][h], cut[label][h + 1]) for label, n in self.sizes.items()}
+                self.parts[h] = {label: w for label, w in part.items() if w.size}
+
+    def halves(self, h: int, order: Sequence[int]) -> dict[int, list[int]]:
+        """End ranks of the halves of the part without outer fold ``h``, as ranks in the whole class."""
+        part = self.parts[h]
+        inside = _end_ranks({label: w.size for label, w in part.items()}, order, 2)
+        return {label: [part[label].whole(r) if r else 0 for r in ranks[:-1]] for label, ranks in inside.items()}
+
+    def wanted(self) -> dict[int, set[int]]:
+        """Per class, the ranks whose keys must be known; for a part, with either order of its classes."""
+        out = {label: {r for ends in self.ends.values() for r in ends.get(label, [0])[:-1]} for label in self.sizes}
+        for h, part in self.parts.items():
+            for order in permutations(sorted(part)):
+                for label, ranks in self.halves(h, order).items():
+                    out[label].update(ranks)
+            for label, w in part.items():
+                out[label].add(w.whole(1))
+        return {label: ranks - {0} for label, ranks in out.items()}
+
+
+def _prefix_tree(
+    rows: DataFrame, groups: Sequence[Subgroup], outcomes: Sequence[str], digits: int, prefixes: DataFrame | None = None
+) -> DataFrame:
+    """Rows and smallest key per scope, outcome, class and key prefix, counted per membership pattern first."""
+    cut = F.substring("okey", 1, digits).alias("prefix")
+    if prefixes is not None:
+        short = prefixes.select(F.col("prefix").alias("_under")).distinct()
+        rows = rows.withColumn("_under", F.substring("okey", 1, digits - PREFIX_DIGITS)).join(short, "_under", "left_semi")
+    first = F.conv(F.substring("okey", 1, 15), 16, 10).cast("long")
+    cells = rows.groupBy("_in", *outcomes, cut).agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
+    labels = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("int").alias("y")) for o in outcomes])
+    long = spread_pattern(cells.withColumn("_e", F.explode(labels)).select("_in", "prefix", "n", "first", "_e.*"), groups, "_in")
+    return settled(long.groupBy(*SCOPE_KEYS, "prefix").agg(F.sum("n").alias("n"), F.min("first").alias("first")), "prefixes")
+
+
+def _keys_at_ranks(
+    rows: DataFrame, groups: Sequence[Subgroup], outcomes: Sequence[str], tree: DataFrame, wanted: DataFrame
+) -> dict[tuple, str]:
+    """The order key at every wanted rank, by ``(attribute, grp, outcome, y, rank)``.
+
+    The tree of prefixes is refined below the ranks only, until few rows share a prefix;
+    those rows are then numbered.
+    """
+    by = Window.partitionBy(*SCOPE_KEYS).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    below, digits = wanted.withColumn("inside", F.col("rank")).withColumn("_under", F.lit("")), PREFIX_DIGITS
+    while True:
+        counted = tree.withColumn("_under", F.substring("prefix", 1, digits - PREFIX_DIGITS))
+        upto = F.sum("n").over(by if digits == PREFIX_DIGITS else Window.partitionBy(*SCOPE_KEYS, "_under").orderBy("prefix").rowsBetween(
+            Window.unboundedPreceding, 0))
+        hit = counted.withColumn("upto", upto).join(below, [*SCOPE_KEYS, "_under"]).where(
+            (F.col("inside") > F.col("upto") - F.col("n")) & (F.col("inside") <= F.col("upto")))
+        hit = settled(hit.select(*SCOPE_KEYS, "prefix", "rank", "n", (F.col("inside") - F.col("upto") + F.col("n")).alias("inside")))
+        widest = hit.agg(F.max("n")).first()[0]
+        if widest is None or widest <= FEW_ROWS or digits > 30 - PREFIX_DIGITS:
+            break
+        digits += PREFIX_DIGITS
+        tree = _prefix_tree(rows, groups, outcomes, digits, hit)
+        below = hit.select(*SCOPE_KEYS, F.col("prefix").alias("_under"), "rank", "inside")
+    cut = F.substring("okey", 1, digits).alias("prefix")
+    near = rows.select("okey", "_in", *outcomes, cut).join(hit.select("prefix").distinct(), "prefix", "left_semi")
+    labels = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("int").alias("y")) for o in outcomes])
+    near = near.withColumn("_e", F.explode(labels)).select("okey", "_in", "prefix", "_e.*")
+    number = F.row_number().over(Window.partitionBy(*SCOPE_KEYS, "prefix").orderBy("okey"))
+    asked = hit.groupBy(*SCOPE_KEYS, "prefix").agg(F.collect_list(F.struct("inside", "rank")).alias("asked"))
+    found = spread_pattern(near, groups, "_in").join(asked, [*SCOPE_KEYS, "prefix"]).withColumn("_rn", number)
+    found = found.withColumn("_hit", F.explode(F.filter("asked", lambda a: a["inside"] == F.col("_rn"))))
+    return {(*(r[c] for c in SCOPE_KEYS), r["rank"]): r["okey"] for r in found.select(*SCOPE_KEYS, "_hit.rank", "okey").collect()}
 
 
 def plan_folds(
@@ -115,33 +223,42 @@ def plan_folds(
 ) -> FoldPlan:
     """Find all fold ends: ``cv`` folds, ``outer`` folds of the calibrated CV, ``inner`` halves of both.
 
-    ``train`` carries the order key as ``okey``.
+    ``train`` carries the order key as ``okey``. Two passes over its rows serve all scopes
+    and outcomes: one counts them by membership pattern, labels and key prefix, which gives
+    every class its size; from the sizes follow the ranks of all ends, those of the nested
+    halves included, as folds are blocks of ranks. The other looks up the keys at these
+    ranks, a few per scope, below the prefixes that hold them. On large tables a pass more
+    refines these prefixes.
     """
     plan = FoldPlan(sizes)
-    keys = ["attribute", "grp", "outcome"]
-    rows = _labelled_members(train, registry, outcomes, attributes).withColumn(
-        "k_cv", F.when(F.col("attribute") == ALL, sizes["population"]).otherwise(sizes["subgroup"]))
-
-    def step(name: str, df: DataFrame, k: int | str, by: list[str]) -> DataFrame:
-        """Fetch the ends of all scopes in one go; return them as a small table."""
-        ends = fold_ends(df, "y", k, by, seed=seed, order="okey").toArrow()
-        for r in ends.to_pylist():
-            at = (name, r["attribute"], r["grp"], r["outcome"], r.get("held_out", -1))
-            plan.ends.setdefault(at, {})[r["y"]] = r["ends"]
-            up_to = [0, *r["rows_up_to"]]
-            for fold in range(len(up_to) - 1):
-                plan.counts.setdefault((*at, fold), {})[r["y"]] = up_to[fold + 1] - up_to[fold]
-        return train.sparkSession.createDataFrame(ends)
-
-    step("cv", rows, "k_cv", keys)
-    step("inner", rows, 2, keys)
-    outer_ends = step("outer", rows, sizes["outer"], keys)
-    if nested:
-        outer = rows.join(outer_ends, [*keys, "y"]).withColumn(
-            "f_outer", F.size(F.filter("ends", lambda e: e < F.col("okey"))))
-        parts = outer.withColumn("held_out", F.explode(F.array(*[F.lit(f) for f in range(sizes["outer"])])))
-        parts = parts.where(F.col("held_out") != F.col("f_outer")).select("okey", "y", *keys, "held_out")
-        step("inner", parts, 2, [*keys, "held_out"])
+    groups = registry.active(attributes)
+    rows = train.select("okey", *outcomes, (member_pattern(groups) if groups else F.lit("")).alias("_in"))
+    tree = _prefix_tree(rows, groups, outcomes, PREFIX_DIGITS)
+    classes: dict[tuple, dict[int, tuple[int, int]]] = {}
+    for r in tree.groupBy(*SCOPE_KEYS).agg(F.sum("n").alias("n"), F.min("first").alias("first")).collect():
+        classes.setdefault((r["attribute"], r["grp"], r["outcome"]), {})[r["y"]] = (r["n"], r["first"])
+    ranks = {at: _Ranks(c, sizes, at[0] == ALL, nested) for at, c in classes.items()}
+    wanted = [(*at, label, rank) for at, mine in ranks.items() for label, of in mine.wanted().items() for rank in sorted(of)]
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in SCOPE_KEYS[:3]], T.StructField("y", T.IntegerType()),
+                           T.StructField("rank", T.LongType())])
+    keys = _keys_at_ranks(rows, groups, outcomes, tree, local_table(train.sparkSession, wanted, schema))
+
+    for at, mine in ranks.items():
+        key = lambda label, rank, at=at: keys[(*at, label, rank)] if rank else ""
+
+        def put(name: str, h: int, label: int, ends: Sequence[int], upto: Sequence[int], at=at, key=key) -> None:
+            plan.ends.setdefault((name, *at, h), {})[label] = [key(label, r) for r in ends]
+            for fold, (a, b) in enumerate(pairwise([0, *upto])):
+                plan.counts.setdefault((name, *at, h, fold), {})[label] = b - a
+
+        for (name, h), ends in mine.ends.items():
+            for label, of in ends.items():
+                put(name, h, label, of[:-1], of)
+        for h, part in mine.parts.items():
+            order = sorted(part, key=lambda label: (key(label, part[label].whole(1)), label))
+            inside = _end_ranks({label: w.size for label, w in part.items()}, order, 2)
+            for label, of in mine.halves(h, order).items():
+                put("inner", h, label, of, inside[label])
     return plan
 
 
