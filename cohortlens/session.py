@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+#: tables written inside each open block of temporary ones, and those of them that stay
+_TEMPORARY: list[list[str]] = []
+_KEPT: set[str] = set()
 
 
 def local_session(app: str = "cohortlens", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -60,6 +65,8 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -67,6 +74,32 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; results that go on must be written after it, or be named by ``kept``."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        for path in _TEMPORARY.pop():
+            if path in _KEPT:
+                # an outer block has the next say
+                if _TEMPORARY:
+                    _TEMPORARY[-1].append(path)
+            else:
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _KEPT.discard(path)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """:func:`materialize`, outliving the :func:`temporary_tables` around it."""
+    out = materialize(df, label)
+    if _TEMPORARY:
+        _KEPT.add(_TEMPORARY[-1][-1])
+    return out
+
+
 def settled(df: DataFrame, label: str = "fitted") -> DataFrame:
     """A fitted table, written and read back.
 
