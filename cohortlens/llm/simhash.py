@@ -32,7 +32,7 @@ from cohortlens.llm.components import connected_components
 from cohortlens.llm.nearcopies import copy_components, with_signature
 from cohortlens.llm.tables import free_name
 from cohortlens.llm.text import parts
-from cohortlens.session import materialize
+from cohortlens.session import kept, materialize, temporary_tables
 
 RADIUS = 2
 SEED = 42
@@ -264,16 +264,17 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_column: str = "do
 def keep_one(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", width: int = 5) -> DataFrame:
     """One row of each component of texts whose shingle sets are 0.8 alike: that of the smallest id (missing ids last),
     the first stored one among repeats. Texts without words are copies of each other."""
-    name, size, buckets, number = (free_name(docs, f"copies_{c}") for c in ("set", "size", "buckets", "row"))
+    name, size, sketch, buckets, number = (free_name(docs, f"copies_{c}") for c in ("set", "size", "sketch", "buckets", "row"))
     marked = materialize(
-        with_signature(docs, text, (name, size, buckets), width).withColumn(number, F.monotonically_increasing_id()), "marked")
-    rows = marked.select(F.col(name).alias("set"), F.col(size).alias("size"), F.col(buckets).alias("buckets"), F.col(number).alias("row"),
-                         F.col(id_column).alias("id"))
-    # texts of one set have the same size and buckets
-    nodes = materialize(rows.groupBy("set").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.min(F.struct("row", "size", "buckets")).alias("node")).select(
-        "best", "node.*"), "copies-nodes")
-    roots = copy_components(nodes, marked.select(F.col(number).alias("row"), F.col(text).alias("text")), width)
-    chosen = nodes.select("best", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").groupBy(
-        F.coalesce("root", "row")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(number))
+        with_signature(docs, text, (name, size, sketch, buckets), width).withColumn(number, F.monotonically_increasing_id()), "marked")
+    rows = marked.select(F.col(name).alias("set"), F.col(size).alias("size"), F.col(sketch).alias("sketch"), F.col(buckets).alias("buckets"),
+                         F.col(number).alias("row"), F.col(id_column).alias("id"))
+    with temporary_tables(docs.sparkSession):
+        # texts of one set have the same size, sketch and buckets
+        nodes = materialize(rows.groupBy("set").agg(
+            F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.min(F.struct("row", "size", "sketch", "buckets")).alias("node")).select(
+            "best", "node.*"), "copies-nodes")
+        roots = copy_components(nodes, marked.select(F.col(number).alias("row"), F.col(text).alias("text")), width)
+        chosen = kept(nodes.select("best", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").groupBy(
+            F.coalesce("root", "row")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(number)), "chosen")
     return marked.join(chosen, number, "left_semi").select(*docs.columns)
