@@ -89,7 +89,7 @@ def block_tokens(block) -> Tokens:
     return Tokens(word, history, np.repeat(np.arange(block.n), n))
 
 
-def count_grams(docs: DataFrame, text: str, flush: int = 3_000_000) -> DataFrame:
+def count_grams(docs: DataFrame, text: str, flush: int = 1_000_000) -> DataFrame:
     """``kind`` (1 word, 2 pair), ``key`` and ``n``, summed over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,8 @@ def count_grams(docs: DataFrame, text: str, flush: int = 3_000_000) -> DataFrame
 @dataclass(frozen=True)
 class Settings:
     discount: float = 0.75
-    least_count: int = 2
+    #: smallest count that a pair needs to be known; 1 keeps all
+    least_count: int = 1
     #: ratio of neighbouring levels of the count scale
     log_base: float = 1.3
     #: probes of a Bloom query, and bits for an entry; a miss is taken for a hit in about 1 of 100 cases
@@ -213,7 +214,6 @@ def fit_model(train: DataFrame, text: str, settings: Settings | None = None) ->
     """Count, build and broadcast, one segment at a time."""
     s = settings or Settings()
     spark = train.sparkSession
-    # pairs below the least count are left to the base measure
     grams = materialize(count_grams(train, text).where((F.col("kind") == 1) | (F.col("n") >= s.least_count)), "grams", ("kind",))
     words = grams.where("kind = 1").select("key", "n")
     size = grams.agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("total"), F.sum((F.col("kind") == 1).cast("long")).alias("words"),
