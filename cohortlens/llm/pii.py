@@ -11,8 +11,10 @@ the tokens chooses boundaries and kinds together; all other tokens stand alone a
 
 Training maximises the likelihood of windows whose base spans are known. Windows are
 drawn from all texts: for each kind of base span, and without any, the ``sample`` of
-them with the smallest hashes, so that a rare kind is learned too. Each is also shown with its spans rewritten in fixed other ways (an email
-with " at ", a phone number without country code), so that the field learns those too.
+them with the smallest hashes, so that a rare kind is learned too. Each is also shown with
+its spans rewritten in fixed other ways (an email with " at ", a phone number without
+country code), both as they are and with other letters, digits and lengths, so that the
+field learns the ways and not the names. Long windows are searched in stretches.
 
 Result: all base spans, and those of the field that overlap none.
 
@@ -24,8 +26,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,10 @@ from cohortlens.llm.text import parts
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, WIDEST = 16, 64
+#: windows with varied spans that training makes for a kind, and at most from one window
+VARIED, MOST_VARIED = 120, 12
+#: a window is searched in stretches of so many characters, each with ``MARGIN`` more on either side
+STRETCH = 4000
 #: characters on either side of a trigger: the widest candidate that can hold it, and context
 MARGIN = WIDEST + 16
 
@@ -78,7 +86,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p) < 100 and int(p) <= 255 or not p.strip("0") for p in m.groups()):
+            # leading zeros don't count
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.groups()):
                 out.append((1, m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() < 16:
@@ -232,17 +241,30 @@ def all_spans(text: str, field: Field | None) -> tuple[list[tuple[int, int, int]
     spans = list(base)
     if field is not None:
         taken = sorted((a, b) for _, a, b in base)
+        reach = list(accumulate((b for _, b in taken), max))
         for lo, hi in windows(text):
-            inside = [(a, b) for a, b in taken if a < hi and b > lo]
-            for kind, a, b in field.find(text[lo:hi]):
-                a, b = a + lo, b + lo
+            for kind, a, b in found_in(text, lo, hi, field):
                 # a span at a window's cut may be part of something longer
                 cut = a == lo and lo > 0 or b == hi and hi < len(text)
-                if not cut and not any(x < b and y > a for x, y in inside):
+                before = bisect_left(taken, (b, 0))
+                # of the base spans that begin before this one ends, does any reach into it?
+                if not cut and not (before and reach[before - 1] > a):
                     spans.append((kind, a, b))
     return base, sorted(set(spans))
 
 
+def found_in(text: str, lo: int, hi: int, field: Field) -> Iterator[tuple[int, int, int]]:
+    """The field's spans in a window, stretch by stretch; a span belongs to the stretch that it starts in."""
+    done = lo
+    for begin in range(lo, hi, STRETCH):
+        first = max(lo, begin - MARGIN)
+        for kind, a, b in field.find(text[first : min(hi, begin + STRETCH + MARGIN)]):
+            a, b = a + first, b + first
+            if begin <= a < begin + STRETCH and a >= done:
+                yield kind, a, b
+                done = b
+
+
 def _other_ways(kind: int, span: str) -> list[str]:
     """A span in ways that the fixed patterns don't take."""
     digits = _NO_DIGIT.sub("", span)
@@ -262,6 +284,37 @@ def _other_ways(kind: int, span: str) -> list[str]:
     return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"001 {a} {b} {c}", f"1-{a}-{b}-{c}"]
 
 
+def _draws(turn: int, span: str) -> Iterator[int]:
+    """Numbers that follow from a span and a turn."""
+    state = int.from_bytes(hashlib.sha256(f"{turn}:{span}".encode()).digest()[:8], "big")
+    while True:
+        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+        yield state >> 33
+
+
+def _word(draw: Iterator[int], least: int, most: int) -> str:
+    return "".join(chr(97 + next(draw) % 26) for _ in range(least + next(draw) % (most - least + 1)))
+
+
+def _varied(kind: int, turn: int, span: str) -> str:
+    """A span of the same kind with other letters, digits and lengths, so that shapes are learned and not names."""
+    draw = _draws(turn, span)
+    if kind == 0:
+        local = [_word(draw, 2, 9) for _ in range(1 + next(draw) % 3)]
+        if next(draw) % 3 == 0:
+            local[-1] += str(next(draw) % 10 ** (1 + next(draw) % 4))
+        domain = [_word(draw, 2, 10) for _ in range(1 + next(draw) % 3)] + [_word(draw, 2, 4)]
+        if next(draw) % 4 == 0:
+            domain[0] += str(next(draw) % 100)
+        return "._-."[next(draw) % 4].join(local) + "@" + ".".join(domain)
+    if kind == 1:
+        return ".".join(str(next(draw) % 256) for _ in range(4))
+    if kind == 2:
+        digits = "".join(str(next(draw) % 10) for _ in range(15))
+        return next(digits + str(d) for d in range(10) if luhn(digits + str(d)))
+    return "+" + str(1 + next(draw) % 99) + "".join(str(next(draw) % 10) for _ in range(10))
+
+
 def _harmless(turn: int, span: str) -> str:
     """Digits of a span as something that isn't personal: a date, a time, a version, an amount, a range of years.
 
@@ -276,19 +329,23 @@ def _harmless(turn: int, span: str) -> str:
 
 
 def training_windows(rows: list[str]) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Each window with its base spans, twice with them written in other ways, once with harmless numbers instead."""
+    """Each window with its base spans, twice with them written in other ways, once with harmless numbers instead, and
+    with other spans of the same kinds in other ways: twice, or more often for a kind that few windows have."""
     out = []
-    for turn, text in enumerate(rows):
-        base = sorted(base_spans(text), key=lambda s: s[1])
+    bases = [sorted(base_spans(text), key=lambda s: s[1]) for text in rows]
+    windows_with = [sum(any(kind == k for k, _, _ in base) for base in bases) for kind in range(len(KINDS))]
+    for turn, (text, base) in enumerate(zip(rows, bases, strict=True)):
         if any(b[1] < a[2] for a, b in zip(base, base[1:], strict=False)):
             continue  # overlapping kinds can't be one segmentation
         out.append((text, base))
         if not base:
             continue
-        for more in range(3):
+        rarest = min(windows_with[kind] for kind, _, _ in base)
+        for more in range(3 + max(2, min(MOST_VARIED, VARIED // rarest))):
             new, gold, at = "", [], 0
             for kind, a, b in base:
-                ways = _other_ways(kind, text[a:b]) or [text[a:b]]
+                span = text[a:b] if more < 3 else _varied(kind, more, text[a:b])
+                ways = _other_ways(kind, span) or [span]
                 way = ways[(turn * 2 + more) % len(ways)]
                 if more == 2:
                     new += text[at:a] + _harmless(turn, text[a:b])
@@ -388,8 +445,11 @@ def train_field(docs: DataFrame, text: str = "text", *, sample: int = 120, longe
 
     Windows are cut into pieces of about ``longest`` characters.
     """
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("part"), "part"))
-    drawn = _windows_of(docs, text, longest).distinct().withColumn("place", place).where(F.col("place") <= sample)
+    # most windows may be of one kind: the smallest hashes of every sixty-fourth part first, then of all
+    drawn = _windows_of(docs, text, longest).distinct().withColumn("hash", F.xxhash64("part")).withColumn("salt", F.pmod("hash", F.lit(64)))
+    for by in (["kind", "salt"], ["kind"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("hash", "part"))
+        drawn = drawn.withColumn("place", place).where(F.col("place") <= sample)
     return fit_field(sorted({r["part"] for r in drawn.select("part").collect()}))
 
 

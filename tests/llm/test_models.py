@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -294,6 +295,96 @@ def test_found_emails_without_a_digit_or_sign_near_them(spark):
     assert pii.all_spans("we met at noon and ate at home with friends " * 5, field)[1] == []
 
 
+def every_segmentation(s, field, at=0):
+    """All ways to cut the tokens from ``at`` on into candidates of a kind and single outside tokens, with their scores."""
+    if at == len(s.tokens):
+        yield 0.0, ()
+        return
+    alone = sum(field.outside.get(f, 0.0) for f in s.outside[at])
+    for score, rest in every_segmentation(s, field, at + 1):
+        yield alone + score, rest
+    for (i, j), own in zip(s.spans, s.features, strict=True):
+        if i == at:
+            kinds = sum((field.segment.get(f, np.zeros(4)) for f in own), np.zeros(4))
+            for score, rest in every_segmentation(s, field, j):
+                for kind in range(4):
+                    yield kinds[kind] + score, ((kind, s.tokens[i][0], s.tokens[j - 1][1]), *rest)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_segmentations_equal_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    text = ["a 1234", "x at y.z", "10.2.3.4", "+1 2345", "ab@c.d", "1 22 333"][seed]
+    s = pii.segments(text)
+    names = {f for own in s.features for f in own}
+    field = pii.Field({f: rng.normal(size=4) for f in sorted(names)}, {f: float(rng.normal()) for f in sorted({f for o in s.outside for f in o})})
+    best = max(every_segmentation(s, field))
+    found = field.find(text)
+    assert len(s.spans) >= 1 and sorted(found) == sorted(best[1])
+
+
+def test_training_makes_known_segmentations_likely():
+    """The chance of the gold segmentation among all of them, summed by enumeration, before and after."""
+    rows = ["x +1 234 567 890", "y +44 20 7946 12", "1 of 22"]
+
+    def chance(field, text, gold):
+        ways = list(every_segmentation(pii.segments(text), field))
+        top = max(score for score, _ in ways)
+        return sum(math.exp(score - top) for score, w in ways if sorted(w) == sorted(gold)) / sum(math.exp(score - top) for score, _ in ways)
+
+    field = pii.fit_field(rows, epochs=40)
+    for text, gold in pii.training_windows(rows)[:1] + [(rows[2], [])]:
+        assert chance(field, text, gold) > max(0.5, 10 * chance(pii.Field({}, {}), text, gold) if gold else 0.5)
+
+
+def test_numbers_with_leading_zeros_and_no_more_than_a_byte():
+    zeros = "0" * 120
+    assert pii.base_spans(f"{zeros}01.2.3.4") == [(1, 0, 128)]
+    assert pii.base_spans(f"{zeros}256.2.3.4") == [] and pii.base_spans("1" * 5000 + ".2.3.4") == []
+    assert pii.base_spans("000.0.0.255") == [(1, 0, 11)]
+
+
+def test_varied_spans_are_of_their_kind():
+    for kind, span in enumerate(("a.b@c.org", "1.2.3.4", "4111111111111111", "+1 234 567 8901")):
+        for turn in range(60):
+            new = pii._varied(kind, turn, span)
+            assert [k for k, a, b in pii.base_spans(new) if (a, b) == (0, len(new))][:1] == [kind], new
+        assert len({pii._varied(kind, turn, span) for turn in range(60)}) > 50
+
+
+def test_long_tables_of_numbers_need_little_memory(monkeypatch):
+    field = pii.fit_field([f"mail nt.{i}@mail{i}.example.com or (017) 555-77{i:02d} or +1 017 555 77{i:02d}" for i in range(30)])
+    line = "".join(f"{i % 97} {i * 37 % 1009} {i % 13}.{i % 7} " for i in range(600))
+    middle = len(line)
+    text = line + "write to lena.kurz at post.example.org now " + line * 3
+    assert len(text) > 6 * pii.STRETCH
+    spans = pii.all_spans(text, field)[1]
+    # a stretch is all that is held at once
+    seen = []
+    find = pii.Field.find
+    monkeypatch.setattr(pii.Field, "find", lambda self, part: seen.append(len(part)) or find(self, part))
+    pii.all_spans(text, field)
+    assert max(seen) <= pii.STRETCH + 2 * pii.MARGIN and sum(seen) >= len(text)
+    assert any(k == 0 and text[a:b] == "lena.kurz at post.example.org" and a > middle for k, a, b in spans)
+    # spans are the same wherever stretches begin
+    short = [(k, a, b) for k, a, b in pii.all_spans(line[-300:] + text[middle : middle + 400], field)[1] if 300 <= a < 344]
+    assert [(k, a - 300 + middle, b - 300 + middle) for k, a, b in short] == [x for x in spans if middle <= x[1] < middle + 44]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_field_of_the_given_table_finds_other_shapes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = pii.train_field(docs)
+    texts = [t for (t,) in docs.where("lang = 'en' and length(text) between 300 and 3000").select("text").limit(40).collect()]
+    for way in pii._other_ways(0, "jane.doe@mail.example.com"):
+        found = 0
+        for t in texts:
+            cut = t.find(" ", 150)
+            text = t[:cut] + f" contact {way} " + t[cut + 1 :]
+            found += way in [text[a:b] for k, a, b in pii.all_spans(text, field)[1] if k == 0]
+        assert found >= 0.9 * len(texts), (way, found)
+
+
 def test_long_windows_are_cut_into_pieces():
     text = ", ".join(f"name{i}@host.com 4111 1111 1111 1111 +1 (017) 555-77{i:02d}" for i in range(60))
     got = pii.pieces(text, 400)

@@ -16,7 +16,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 
 def test_registered():
     assert set(QUERIES) <= set(queries())
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES if n != "pipeline"} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES if n != "pipeline"} == {str(i) for i in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "private", "mixture", "packing"]
 
 
