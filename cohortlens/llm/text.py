@@ -28,17 +28,18 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = 0x9E3779B97F4A7C15 | 1
 _STEP_BACK = pow(_STEP, -1, 2**64)
-_POWERS: dict[str, np.ndarray] = {}
+#: powers are kept for the places in a stretch, and for the beginnings of stretches
+_STRETCH_BITS = 14
+_STRETCH = 1 << _STRETCH_BITS
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 2 * BLOCK_BYTES)
-        for name, factor in (("up", _STEP), ("down", _STEP_BACK)):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(factor: int, n: int) -> np.ndarray:
+    steps = np.full(n, factor % 2**64, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_STEP, _STRETCH), _powers(_STEP_BACK, _STRETCH)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,10 +96,16 @@ class Block:
 
     def hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each span; equal bytes give equal hashes wherever they stand."""
-        up, down = _powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * up[: len(self.data)], out=sums[1:])
-        h = (sums[stops] - sums[starts]) * down[starts]
+        n = len(self.data)
+        far = n // _STRETCH + 1
+        up, down = _powers(pow(_STEP, _STRETCH, 2**64), far), _powers(pow(_STEP_BACK, _STRETCH, 2**64), far)
+        sums = np.zeros(n + 1, np.uint64)
+        for k, first in enumerate(range(0, n, _STRETCH)):
+            last = min(first + _STRETCH, n)
+            own = sums[first + 1 : last + 1]
+            np.cumsum(_BYTE_VALUE[self.data[first:last]] * _UP[: last - first] * up[k], out=own)
+            own += sums[first]
+        h = (sums[stops] - sums[starts]) * _DOWN[starts & (_STRETCH - 1)] * down[starts >> _STRETCH_BITS]
         return mix(h + (stops - starts).astype(np.uint64))
 
     def per_text(self, per_byte: np.ndarray) -> np.ndarray:
