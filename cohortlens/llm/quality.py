@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.tables import free_name, id_share
+from cohortlens.llm.tables import id_share
 from cohortlens.llm.text import Block, blocks, mix, parts
 from cohortlens.session import materialize
 
@@ -99,9 +99,9 @@ def block_statistics(b: Block) -> np.ndarray:
     return np.column_stack([columns[c] for c in STATISTICS])
 
 
-def document_statistics(docs: DataFrame, text: str = "text", into: str = "stats", keep_text: bool = False) -> DataFrame:
-    """Add an array of the text's statistics; the text column goes unless it is to be kept, other columns stay."""
-    schema = T.StructType([f for f in docs.schema.fields if keep_text or f.name != text] + [T.StructField(into, T.ArrayType(T.DoubleType()))])
+def document_statistics(docs: DataFrame, text: str = "text", into: str = "stats") -> DataFrame:
+    """Put an array of the text's statistics in place of the text; other columns stay."""
+    schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(into, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -110,7 +110,7 @@ def document_statistics(docs: DataFrame, text: str = "text", into: str = "stats"
                 rows[b.first : b.last] = block_statistics(b)
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS)
             stats = pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
-            kept = [i for i, name in enumerate(batch.schema.names) if keep_text or name != text]
+            kept = [i for i, name in enumerate(batch.schema.names) if name != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), stats],
                                              names=[*(batch.schema.names[i] for i in kept), into])
 
@@ -261,9 +261,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, *, text: str = "text",
               id_column: str = "doc_id", **settings) -> DataFrame:
-    """Rows whose score reaches ``least``, with all their columns; the model is fitted on the labelled ones."""
+    """Rows whose score reaches ``least``, with all their columns; the model is fitted on the labelled ones.
+
+    Texts pass through a worker once, in which they are measured, scored and kept or left out.
+    """
     sized = materialize(document_statistics(docs.select(id_column, text), text), "quality-stats")
     model = fit_quality(sized, learnable(labels, id_column), id_column, "quality", **settings)
-    name = free_name(docs, "quality_stats")
-    scored = score_statistics(document_statistics(docs, text, name, keep_text=True), model, name + "_score", name)
-    return scored.where(F.col(name + "_score") >= least).select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 256):
+            good = np.zeros(batch.num_rows, bool)
+            for b in blocks(batch.column(text)):
+                good[b.first : b.last] = model.score(block_statistics(b)) >= least
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
