@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from cohortlens.llm.components import connected_components
 from cohortlens.llm.nearcopies import copy_components, with_signature
-from cohortlens.llm.tables import free_name
+from cohortlens.llm.tables import batches_of, free_name
 from cohortlens.llm.text import parts
 from cohortlens.session import kept, materialize, temporary_tables
 
@@ -265,11 +265,12 @@ def keep_one(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id",
     """One row of each component of texts whose shingle sets are 0.8 alike: that of the smallest id (missing ids last),
     the first stored one among repeats. Texts without words are copies of each other."""
     name, size, sketch, buckets, number = (free_name(docs, f"copies_{c}") for c in ("set", "size", "sketch", "buckets", "row"))
-    marked = materialize(
-        with_signature(docs, text, (name, size, sketch, buckets), width).withColumn(number, F.monotonically_increasing_id()), "marked")
+    with batches_of(docs.sparkSession, 512):
+        marked = materialize(
+            with_signature(docs, text, (name, size, sketch, buckets), width).withColumn(number, F.monotonically_increasing_id()), "marked")
     rows = marked.select(F.col(name).alias("set"), F.col(size).alias("size"), F.col(sketch).alias("sketch"), F.col(buckets).alias("buckets"),
                          F.col(number).alias("row"), F.col(id_column).alias("id"))
-    with temporary_tables(docs.sparkSession):
+    with temporary_tables(docs.sparkSession), batches_of(docs.sparkSession, 512):
         # texts of one set have the same size, sketch and buckets
         nodes = materialize(rows.groupBy("set").agg(
             F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.min(F.struct("row", "size", "sketch", "buckets")).alias("node")).select(
