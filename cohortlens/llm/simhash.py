@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from cohortlens.llm.components import connected_components
 from cohortlens.llm.nearcopies import copy_components, with_signature
-from cohortlens.llm.tables import batches_of, free_name
+from cohortlens.llm.tables import batches_of, free_name, row_bits, rows_of_bits
 from cohortlens.llm.text import parts
 from cohortlens.session import kept, materialize, temporary_tables
 
@@ -276,6 +276,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id",
             F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.min(F.struct("row", "size", "sketch", "buckets")).alias("node")).select(
             "best", "node.*"), "copies-nodes")
         roots = copy_components(nodes, marked.select(F.col(number).alias("row"), F.col(text).alias("text")), width)
-        chosen = kept(nodes.select("best", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").groupBy(
+        chosen = materialize(nodes.select("best", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").groupBy(
             F.coalesce("root", "row")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(number)), "chosen")
-    return marked.join(chosen, number, "left_semi").select(*docs.columns)
+        bits = kept(row_bits(chosen, number), "chosen-bits")
+    return rows_of_bits(marked, number, bits).select(*docs.columns)

@@ -33,6 +33,26 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def row_bits(rows: DataFrame, number: str) -> DataFrame:
+    """``bucket``, ``bits``: a set of row numbers as one bitmap for every 32,768 numbers, an eighth of a byte a row."""
+    return rows.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+
+
+def rows_of_bits(df: DataFrame, number: str, bits: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose number is set in ``bits``, of :func:`row_bits`.
+
+    The bitmaps of a written table are small enough to be broadcast long after a list of numbers
+    isn't; beyond Spark's threshold both sides are shuffled by bucket, none of which exceeds 32,768 rows.
+    """
+    held, bucket = free_name(df, "row_bits"), free_name(df, "row_bucket")
+    place = F.bitmap_bit_position(F.col(number))
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, (place % 8).cast("int"))
+    return df.join(bits.select(F.col("bits").alias(held), F.col("bucket").alias(bucket)),
+                   (F.bitmap_bucket_number(F.col(number)) == F.col(bucket)) & (bit == 1), "left_semi")
+
+
 def id_share(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a missing id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
