@@ -230,3 +230,19 @@ SELECT attribute, grp, count(*) AS n, sum(y1)::BIGINT AS y1_n FROM member GROUP
 def union_groups(spark, folder):
     rows = with_membership(_labelled(spark, folder), C.ORDER_REGISTRY, with_disabled=True)
     return rows.groupBy("attribute", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("y1").alias("y1_n"))
+
+
+@query("q_csv_cohort", """
+SELECT 'said "' || o_orderpriority || '",' || chr(10) || 'then ' || o_orderstatus AS note, count(*) AS n,
+       CAST(sum(o_orderkey) AS BIGINT) AS ids, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
+FROM orders GROUP BY ALL""")
+def csv_cohort(spark, folder):
+    """All orders written as CSV, with quotes and line breaks inside cells, and read again in splits."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(
+        F.col("o_orderkey").alias("row_id"),
+        F.concat(F.lit('said "'), "o_orderpriority", F.lit('",\nthen '), "o_orderstatus").alias("note"), F.col("o_totalprice").alias("price"))
+    path = new_folder(spark, "orders-csv")
+    orders.write.options(header=True, escape='"').csv(path)
+    back = read_cohort(spark, path, "price double, note string, row_id bigint", "csv")
+    return back.groupBy("note").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids"),
+                                    F.sum(F.round(F.col("price") * 100).cast("long")).alias("cents"))

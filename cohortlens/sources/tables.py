@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.sources.csv import read_csv_text
+
 #: name pattern of index columns that a table export leaves behind
 EXPORT_INDEX = r"^Unnamed"
 #: cells that stand for a missing value (fixed values)
@@ -35,7 +37,7 @@ def read_cohort(
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet")
     if fmt == "csv":
-        text = spark.read.options(header=True, multiLine=True, escape='"', mode="FAILFAST", inferSchema=False).csv(path)
+        text = read_csv_text(spark, path)
         text = text.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in text.columns])
         text = drop_matching(text, EXPORT_INDEX + r"|^_c0$")
         types = _inferred(text) if schema is None else _fields(schema)
