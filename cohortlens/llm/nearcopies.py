@@ -23,7 +23,7 @@ bucket is left undecided unless its ends are in one component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +100,21 @@ def signature_columns(texts: pa.Array, width: int) -> tuple[pa.Array, pa.Array,
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets[sizes > 0].ravel())))
 
 
-def with_signature(docs: DataFrame, text: str, into: tuple[str, str, str, str], width: int) -> DataFrame:
-    """Add the hash of the shingle set, its size, its sketch and its buckets."""
-    names = [*docs.columns, *into]
+def with_signature(
+    docs: DataFrame, text: str, into: tuple[str, str, str, str], width: int, more: Mapping[str, Callable[[pa.Array], pa.Array]] | None = None,
+) -> DataFrame:
+    """Add the hash of the shingle set, its size, its sketch and its buckets, and ``more`` whole numbers of the texts in the same pass."""
+    more = dict(more or {})
+    names = [*docs.columns, *into, *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 256):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *signature_columns(batch.column(text), width)], names=names)
+            texts = batch.column(text)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *signature_columns(texts, width), *(number(texts) for number in more.values())], names=names)
 
-    kinds = (T.LongType(), T.LongType(), T.BinaryType(), T.ArrayType(T.LongType()))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(into, kinds, strict=True))]))
+    kinds = (T.LongType(), T.LongType(), T.BinaryType(), T.ArrayType(T.LongType()), *(T.LongType() for _ in more))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip((*into, *more), kinds, strict=True))]))
 
 
 def alike(met: DataFrame) -> DataFrame:
@@ -207,14 +212,19 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(some.select("bucket", "least"), "bucket").where(hope).drop("least")
 
 
-def copy_components(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``node``, ``root`` of all nodes that share a bucket; ``nodes`` has ``row``, ``size``, ``sketch``, ``buckets``, ``texts`` row and text."""
+def copy_components(nodes: DataFrame, texts: DataFrame, width: int, links: DataFrame | None = None) -> DataFrame:
+    """``node``, ``root`` of all nodes that share a bucket or have a link; ``nodes`` has ``row``, ``size``, ``sketch``, ``buckets``,
+    ``texts`` row and text. The stored ``links`` ``a``, ``b`` are known to be copies: their ends needn't meet again.
+    """
     members = nodes.select("row", "size", F.posexplode("buckets").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(members.join(shared, "bucket"), "buckets")
     weight = members.groupBy("row").agg(F.sum("n").alias("weight"))
     known = materialize(nodes.select("row", "sketch").join(weight, "row"), "known")
     roots = known.select("row", F.col("row").alias("root"))
+    if links is not None and not links.isEmpty():
+        ends = links.select(F.explode(F.array("a", "b")).alias("row"))
+        roots = _merged(known.select("row").union(ends).distinct().withColumn("root", F.col("row")), links)
     for bands in STEPS:
         open_, leaders = members.where(F.col("band").isin(*bands)).select("bucket", "row", "size", F.col("size").alias("shared")), 1
         while True:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.nearcopies import copy_components, with_signature
+from cohortlens.llm.nearcopies import confirmed, copy_components, with_signature
 from cohortlens.llm.tables import batches_of, free_name, row_bits, rows_of_bits
 from cohortlens.llm.text import parts
 from cohortlens.session import kept, materialize, temporary_tables
@@ -261,21 +261,41 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_column: str = "do
         F.col("id").alias(id_column), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def close_nodes(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Links ``a``, ``b`` from the first row of each component of fingerprints to its others whose shingle sets are 0.8 alike.
+
+    ``nodes`` has ``row`` and ``print``, ``texts`` row and text. Equal counts of repeated shingles make texts of
+    different sets close, so links are confirmed on the texts.
+    """
+    linked = materialize(fingerprint_components(nodes, "print"), "print-roots")
+    first = nodes.groupBy("print").agg(F.min("row").alias("row")).join(linked, "print").groupBy("root").agg(F.min("row").alias("a"))
+    named = materialize(linked.join(first, "root").select("print", "a"), "named")
+    pairs = materialize(nodes.join(named, "print").where(F.col("row") != F.col("a")).select("a", F.col("row").alias("b")), "close")
+    return materialize(confirmed(pairs, texts, width), "close-copies")
+
+
 def keep_one(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", width: int = 5) -> DataFrame:
     """One row of each component of texts whose shingle sets are 0.8 alike: that of the smallest id (missing ids last),
-    the first stored one among repeats. Texts without words are copies of each other."""
-    name, size, sketch, buckets, number = (free_name(docs, f"copies_{c}") for c in ("set", "size", "sketch", "buckets", "row"))
+    the first stored one among repeats. Texts without words are copies of each other.
+
+    Fingerprints at most ``RADIUS`` bits apart are found first, as in :func:`near_duplicates`; texts at 0.8 differ in
+    nine bits or so, and are found by MinHash buckets among what isn't linked by then."""
+    name, size, sketch, buckets, number, prints = (
+        free_name(docs, f"copies_{c}") for c in ("set", "size", "sketch", "buckets", "row", "print"))
     with batches_of(docs.sparkSession, 512):
-        marked = materialize(
-            with_signature(docs, text, (name, size, sketch, buckets), width).withColumn(number, F.monotonically_increasing_id()), "marked")
+        signed = with_signature(docs, text, (name, size, sketch, buckets), width,
+                                {prints: lambda texts: pa.array(fingerprint_batch(texts.to_pylist(), width))})
+        marked = materialize(signed.withColumn(number, F.monotonically_increasing_id()), "marked")
     rows = marked.select(F.col(name).alias("set"), F.col(size).alias("size"), F.col(sketch).alias("sketch"), F.col(buckets).alias("buckets"),
-                         F.col(number).alias("row"), F.col(id_column).alias("id"))
+                         F.col(number).alias("row"), F.col(id_column).alias("id"), F.col(prints).alias("print"))
+    texts = marked.select(F.col(number).alias("row"), F.col(text).alias("text"))
     with temporary_tables(docs.sparkSession), batches_of(docs.sparkSession, 512):
-        # texts of one set have the same size, sketch and buckets
+        # texts of one set have the same size, sketch and buckets; their fingerprints differ if shingles repeat
         nodes = materialize(rows.groupBy("set").agg(
-            F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.min(F.struct("row", "size", "sketch", "buckets")).alias("node")).select(
-            "best", "node.*"), "copies-nodes")
-        roots = copy_components(nodes, marked.select(F.col(number).alias("row"), F.col(text).alias("text")), width)
+            F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"),
+            F.min(F.struct("row", "size", "sketch", "buckets", "print")).alias("node")).select("best", "node.*"), "copies-nodes")
+        links = close_nodes(nodes.where("size > 0").select("row", "print"), texts, width)
+        roots = copy_components(nodes, texts, width, links)
         chosen = materialize(nodes.select("best", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").groupBy(
             F.coalesce("root", "row")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(number)), "chosen")
         bits = kept(row_bits(chosen, number), "chosen-bits")

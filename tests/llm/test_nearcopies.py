@@ -5,6 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from cohortlens.llm import simhash
 from cohortlens.llm.nearcopies import LEAST, rare_buckets
 from cohortlens.llm.simhash import keep_one
 
@@ -73,3 +74,27 @@ def test_rare_buckets_hold_every_pair(spark):
 def test_rare_buckets_of_nothing(spark):
     none = spark.createDataFrame([], "bucket long, row long, size long")
     assert rare_buckets(none, spark.createDataFrame([], "row long, text string"), WIDTH).count() == 0
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Copies within two bits are linked by their fingerprints; close fingerprints of unlike sets aren't copies."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    long = " ".join(rng.choices(words, k=3000))
+    line = "one line that is said over again "  # seven shingles: no bit is set in just half of them
+    texts = [long, long + " end", long + " stop", line * 400 + " ".join(words[:60]), line * 400 + " ".join(words[100:160]), "", " ", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found, close = [], simhash.close_nodes
+
+    def watched(*arguments):
+        links = close(*arguments)
+        found.extend((r["a"], r["b"]) for r in links.collect())
+        return links
+
+    monkeypatch.setattr(simhash, "close_nodes", watched)
+    assert {r["doc_id"] for r in keep_one(docs).collect()} == {0, 3, 4, 5}
+    prints = simhash.fingerprint_batch(texts, WIDTH)
+    near = [(i, j) for i, j in combinations(range(5), 2) if bin(int(prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= simhash.RADIUS]
+    assert (0, 1) in near and (0, 2) in near and (3, 4) in near
+    # the three long texts hang together, the repeated line alone ties nothing
+    assert len(found) == 2
