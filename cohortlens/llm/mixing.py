@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.tables import free_name
+from cohortlens.llm.tables import batches_of, free_name
 from cohortlens.llm.text import count_words, hash_texts, mix, parts
 from cohortlens.session import materialize
 
@@ -144,24 +144,29 @@ def mix_sources(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text
 def repeat_mixed(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    How often follows from a row's own source and hash, so texts are neither moved nor joined by id.
+    Texts pass through a worker once, a few at a time, and are stored with their hash and size. How often a row is
+    taken follows from its own source and hash, so texts are neither moved nor joined by id.
     """
     size, key, weight, number = (free_name(docs, f"mixing_{x}") for x in ("size", "hash", "plan", "turn"))
-    measured = materialize(measure(docs, id_column, text, source), "sizes")
-    targets = materialize(source_targets(measured, **settings), "targets")
-    plan = materialize(targets.select("source").join(thresholds(measured, targets).withColumnRenamed("source", "s"),
-                                                     F.col("source").eqNullSafe(F.col("s"))).select("source", "copies", "bound"), "plan")
-    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(size, T.LongType()), T.StructField(key, T.LongType())])
     salted = docs.withColumn(weight, F.xxhash64(F.col(id_column)))
     names = docs.columns
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            h = mix(hash_texts(batch.column(text)) ^ mix(batch.column(weight).to_numpy().view(np.uint64))) >> np.uint64(64 - HASH_BITS)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(h.astype(np.int64))], names=[*names, key])
+            texts = batch.column(text)
+            h = mix(hash_texts(texts) ^ mix(batch.column(weight).to_numpy().view(np.uint64))) >> np.uint64(64 - HASH_BITS)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(count_words(texts)), pa.array(h.astype(np.int64))], names=[*names, size, key])
 
-    marked = salted.mapInArrow(mark, schema)
-    named = plan.select(F.col("source").alias(weight), F.col("copies").alias(size), F.col("bound").alias(number))
-    taken = F.coalesce(F.col(size), F.lit(0)) + F.when(F.col(key) < F.col(number), 1).otherwise(0)
+    with batches_of(docs.sparkSession, 512):
+        marked = materialize(salted.mapInArrow(mark, schema), "marked")
+    measured = marked.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(key).alias("hash"))
+    targets = materialize(source_targets(measured, **settings), "targets")
+    plan = materialize(targets.select("source").join(thresholds(measured, targets).withColumnRenamed("source", "s"),
+                                                     F.col("source").eqNullSafe(F.col("s"))).select("source", "copies", "bound"), "plan")
+    copies = free_name(docs, "mixing_copies")
+    named = plan.select(F.col("source").alias(weight), F.col("copies").alias(copies), F.col("bound").alias(number))
+    taken = F.coalesce(F.col(copies), F.lit(0)) + F.when(F.col(key) < F.col(number), 1).otherwise(0)
     joined = marked.join(named, F.col(source).eqNullSafe(F.col(weight)))
     return joined.withColumn(number, F.explode(F.array_repeat(F.lit(1), taken.cast("int")))).select(*names)

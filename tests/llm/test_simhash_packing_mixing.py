@@ -210,3 +210,18 @@ def test_pieces_hold_every_word_once(docs, no_docs):
     for r in docs.where("doc_id < 400").collect():
         assert b" ".join(words(" ".join(t or "" for _, t in sorted(text[r["doc_id"]], key=lambda x: x[0])))) == b" ".join(words(r["text"]))
     assert plan_packing(no_docs).count() == 0 and packed_pieces(no_docs).count() == 0
+
+
+def test_repeated_rows_pass_a_worker_once_in_small_batches(spark, docs, monkeypatch):
+    from cohortlens.llm import mixing
+
+    sizes, store = [], mixing.materialize
+
+    def watched(df, label, *more):
+        if "MapInArrow" in df._jdf.queryExecution().executedPlan().toString():
+            sizes.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return store(df, label, *more)
+
+    monkeypatch.setattr(mixing, "materialize", watched)
+    got = repeat_mixed(docs)
+    assert sizes == [512] and "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
