@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog import sql as S
 from cohortlens.catalog.base import query
-from cohortlens.catalog.scored import KEEP, rounded
+from cohortlens.catalog.scored import rounded
 from cohortlens.operators.calibration import apply_calibrators, fit_calibrators
 from cohortlens.operators.metrics import EVALUATION_METRICS, highest
 from cohortlens.operators.selection import SELECTION_METRIC, best_models, ranked_models, runners_up, union_all
 from cohortlens.functions import order_key
-from cohortlens.operators.split import SPLIT_SEED, inner_folds, split_train_test, stratified_folds
+from cohortlens.operators.split import SPLIT_SEED, split_train_test, stratified_folds
 from cohortlens.operators.subgroups import ALL, with_membership
-from cohortlens.operators.votes import collect_weights, ensemble_members, member_weights, vote_table
+from cohortlens.operators.votes import collect_weights, ensemble_members, member_weights, vote_table, yhat_col
 from cohortlens.plans import cohorts as C
 from cohortlens.plans import evaluation as E
 from cohortlens.plans import reports as R
@@ -95,21 +95,27 @@ evaluation AS (SELECT outcome, strategy, calibration, ensemble, attribute, grp,
 
 def prepared(spark, folder):
     """The scored cohort with its split, written once: everything below reads it several times."""
-    df = split_train_test(C.scored_orders(spark, folder)).withColumn("okey", order_key("row_id", SPLIT_SEED))
+    # the split reads the cohort several times: its joins are made once
+    df = split_train_test(materialize(C.scored_orders(spark, folder), "cohort")).withColumn("okey", order_key("row_id", SPLIT_SEED))
     return materialize(df, "scored", ("is_test",))
 
 
 def scope_scores(study):
     """CV scores of every scope: three folds on everyone, two in subgroups. A few dozen rows."""
-    rows = with_membership(read_split(study, "train"), C.ORDER_REGISTRY, whole=True)
-    rows = E.by_outcome(rows, OUTCOMES).withColumn("k", F.when(F.col("attribute") == ALL, 3).otherwise(2))
-    # a fold depends on the row and its label, not on the model: unpivot models afterwards
-    rows = stratified_folds(rows, "y", "k", SCOPES, order="okey")
-    return settled(E.scope_cv_scores(E.by_model(rows, C.SCORERS)))
+    sizes = {"population": 3, "subgroup": 2}
+    cells = E.folded_cells(read_split(study, "train"), C.ORDER_REGISTRY, OUTCOMES, C.SCORERS, sizes, SPLIT_SEED)
+    return settled(E.scope_cv_scores(cells, weight="n"))
 
 
-def test_long(study):
-    return E.long_by_outcome(read_split(study, "test"), OUTCOMES, C.SCORERS, KEEP)
+def test_cells(study):
+    """Test rows that agree in attributes, labels and predicted classes, as one row with their count ``n``."""
+    columns = [*ATTRIBUTES, *OUTCOMES, *[yhat_col(m) for m in C.SCORERS]]
+    return settled(read_split(study, "test").groupBy(*columns).agg(F.count(F.lit(1)).alias("n")), "cells")
+
+
+def cells_by_group(cells):
+    long = E.by_model(E.by_outcome(cells, OUTCOMES), C.SCORERS, scores=False)
+    return with_membership(long, C.ORDER_REGISTRY).withColumn("calibration", F.lit("raw"))
 
 
 def group_best(scores):
@@ -124,42 +130,45 @@ def base_members(scores):
     return runners_up(scores.where(F.col("attribute") == ALL), SCOPES, SELECTION_METRIC).select("outcome", "algorithm")
 
 
-def votes_on_all(study, scores):
+def votes_on_all(cells, scores):
     members = ensemble_members(base_members(scores), group_best(scores), ATTRIBUTES)
-    return vote_table(E.by_outcome(read_split(study, "test"), OUTCOMES), collect_weights(members, C.SCORERS), KEEP)
+    return vote_table(E.by_outcome(cells, OUTCOMES), collect_weights(members, C.SCORERS), [*ATTRIBUTES, "n"], soft=False)
 
 
-def votes_on_groups(study, scores):
+def votes_on_groups(cells, scores):
     members = base_members(scores).unionByName(overall_best(scores).select("outcome", "algorithm"))
     weights = collect_weights(members.withColumn("ensemble", F.lit("best_and_runners_up")), C.SCORERS)
-    return with_membership(vote_table(E.by_outcome(read_split(study, "test"), OUTCOMES), weights, KEEP), C.ORDER_REGISTRY)
+    votes = vote_table(E.by_outcome(cells, OUTCOMES), weights, [*ATTRIBUTES, "n"], soft=False)
+    return with_membership(votes, C.ORDER_REGISTRY)
 
 
 def shared_predictions(study, scores):
-    """Raw and isotonic test predictions of the best model on everyone."""
+    """Raw and isotonic test predictions of the best model on everyone; equal ones are one row with their count ``n``."""
     best = overall_best(scores).select("outcome", "algorithm")
-    test = test_long(study).join(best, ["outcome", "algorithm"])
-    train = E.long_by_outcome(read_split(study, "train"), OUTCOMES, C.SCORERS, KEEP).join(best, ["outcome", "algorithm"])
-    halves = inner_folds(train, "y", ["outcome"]).withColumnRenamed("p", "score")
+    long = lambda part, keep: E.long_by_outcome(read_split(study, part), OUTCOMES, C.SCORERS, keep).join(
+        F.broadcast(best), ["outcome", "algorithm"])
+    rows = [*ATTRIBUTES, "outcome", "algorithm", "y"]
+    test = settled(long("test", ATTRIBUTES).groupBy(*rows, "p", "yhat").agg(F.count(F.lit(1)).alias("n")), "shared")
+    train = settled(long("train", ["row_id", "okey"]), "shared-train")
+    halves = stratified_folds(train, "y", 2, ["outcome"], fold="inner", order="okey").withColumnRenamed("p", "score")
     fitted = fit_calibrators(halves, ["outcome"], ["isotonic"])
     doubled = test.withColumns({"s0": F.col("p"), "s1": F.col("p")}).drop("p", "yhat")
-    rows = [*KEEP, "outcome", "algorithm", "y"]
     again = apply_calibrators(doubled, fitted, ["outcome"], ["s0", "s1"], ["isotonic"])
     return union_all([
-        test.select(*rows, "p", "yhat").withColumn("calibration", F.lit("raw")),
-        again.select(*rows, "p", "yhat", "calibration"),
+        test.select(*rows, "n", "p", "yhat").withColumn("calibration", F.lit("raw")),
+        again.select(*rows, "n", "p", "yhat", "calibration"),
     ])
 
 
 def evaluation(spark, folder):
     study = prepared(spark, folder)
     scores = scope_scores(study)
-    by_group = with_membership(test_long(study), C.ORDER_REGISTRY).withColumn("calibration", F.lit("raw"))
+    cells = test_cells(study)
     return E.evaluation_table([
-        E.one_for_all(shared_predictions(study, scores), overall_best(scores), C.ORDER_REGISTRY),
-        E.one_per_group(by_group, group_best(scores)),
-        E.ensemble_on_all(votes_on_all(study, scores), C.ORDER_REGISTRY),
-        E.ensemble_on_group(votes_on_groups(study, scores)),
+        E.one_for_all(shared_predictions(study, scores), overall_best(scores), C.ORDER_REGISTRY, weight="n"),
+        E.one_per_group(cells_by_group(cells), group_best(scores), weight="n"),
+        E.ensemble_on_all(votes_on_all(cells, scores), C.ORDER_REGISTRY, weight="n"),
+        E.ensemble_on_group(votes_on_groups(cells, scores), weight="n"),
     ])
 
 
@@ -223,8 +232,7 @@ WITH {_EVAL} SELECT outcome, attribute, grp, {_formatted()} FROM evaluation WHER
 def best_per_group(spark, folder):
     study = prepared(spark, folder)
     scores = scope_scores(study)
-    rows = with_membership(test_long(study), C.ORDER_REGISTRY).withColumn("calibration", F.lit("raw"))
-    out = E.one_per_group(rows, group_best(scores))
+    out = E.one_per_group(cells_by_group(test_cells(study)), group_best(scores), weight="n")
     return rounded(out.select("outcome", "attribute", "grp", *EVALUATION_METRICS), EVALUATION_METRICS)
 
 
@@ -233,9 +241,10 @@ WITH {_EVAL} SELECT outcome, strategy, ensemble, attribute, grp, {_formatted()}
 def ensemble_eval(spark, folder):
     study = prepared(spark, folder)
     scores = scope_scores(study)
+    cells = test_cells(study)
     out = union_all([
-        E.ensemble_on_all(votes_on_all(study, scores), C.ORDER_REGISTRY),
-        E.ensemble_on_group(votes_on_groups(study, scores)),
+        E.ensemble_on_all(votes_on_all(cells, scores), C.ORDER_REGISTRY, weight="n"),
+        E.ensemble_on_group(votes_on_groups(cells, scores), weight="n"),
     ])
     return rounded(out.select("outcome", "strategy", "ensemble", "attribute", "grp", *EVALUATION_METRICS), EVALUATION_METRICS)
 

@@ -30,16 +30,15 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
 
 
-def confusion_counts(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
-    """``n, tp, fp, fn, tn`` as long per key."""
+def confusion_counts(df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat", weight: str | None = None) -> DataFrame:
+    """``n, tp, fp, fn, tn`` as long per key; a row counts as often as ``weight`` says."""
     t, p = F.col(y), F.col(yhat)
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((t == 1) & (p == 1)).alias("tp"),
-        F.count_if((t == 0) & (p == 1)).alias("fp"),
-        F.count_if((t == 1) & (p == 0)).alias("fn"),
-        F.count_if((t == 0) & (p == 0)).alias("tn"),
-    )
+    cases = {"tp": (t == 1) & (p == 1), "fp": (t == 0) & (p == 1), "fn": (t == 1) & (p == 0), "tn": (t == 0) & (p == 0)}
+    if weight:
+        counts = [F.sum(weight).alias("n"), *[F.sum(F.when(c, F.col(weight)).otherwise(0)).alias(name) for name, c in cases.items()]]
+    else:
+        counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(name) for name, c in cases.items()]]
+    return df.groupBy(*keys).agg(*counts)
 
 
 def metric_columns() -> dict[str, Column]:
@@ -77,15 +76,16 @@ def _with_metrics(counts: DataFrame, keys: Sequence[str], metrics: Sequence[str]
 
 def classification_metrics(
     df: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
-    metrics: Sequence[str] = EVALUATION_METRICS, keep_counts: bool = False,
+    metrics: Sequence[str] = EVALUATION_METRICS, keep_counts: bool = False, weight: str | None = None,
 ) -> DataFrame:
     """One row per key with the named metrics."""
-    return _with_metrics(confusion_counts(df, keys, y, yhat), keys, metrics, keep_counts)
+    return _with_metrics(confusion_counts(df, keys, y, yhat, weight), keys, metrics, keep_counts)
 
 
 def subgroup_metrics(
     df: DataFrame, registry: Registry, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
     metrics: Sequence[str] = EVALUATION_METRICS, keep_counts: bool = False, attributes: Sequence[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Metrics of everyone and of each subgroup: ``keys, attribute, grp, ...``.
 
@@ -93,7 +93,7 @@ def subgroup_metrics(
     so rows are not multiplied by the number of groups they are in.
     """
     groups = registry.active(attributes)
-    counts = confusion_counts(df.withColumn("_in", member_pattern(groups)), [*keys, "_in"], y, yhat)
+    counts = confusion_counts(df.withColumn("_in", member_pattern(groups)), [*keys, "_in"], y, yhat, weight)
     by = [*keys, "attribute", "grp"]
     spread = spread_pattern(counts, groups, "_in").groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
     return _with_metrics(spread, by, metrics, keep_counts)
@@ -136,14 +136,19 @@ def _slice_of(score: Column, edges: Column, log2_slices: int) -> Column:
 
 
 def _ranked_totals(
-    df: DataFrame, keys: Sequence[str], y: str, score: str, log2_slices: int, sums: dict[str, Column] | None = None
+    df: DataFrame, keys: Sequence[str], y: str, score: str, log2_slices: int, sums: dict[str, Column] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Per key: positives ``_p``, negatives ``_n``, won pairs ``_wins``, and sums of further row values."""
+    """Per key: positives ``_p``, negatives ``_n``, won pairs ``_wins``, and sums of further row values.
+
+    ``weight`` names a column that says for how many equal rows a row stands.
+    """
     sums = sums or {}
-    extra = [F.sum(c).alias(name) for name, c in sums.items()]
+    times = F.col(weight) if weight else F.lit(1).cast("long")
+    extra = [F.sum(c * times).alias(name) for name, c in sums.items()]
     again = [F.sum(name).alias(name) for name in sums]
     ties = df.groupBy(*keys, F.col(score).alias("_s")).agg(
-        F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"), *extra
+        F.sum(F.col(y).cast("long") * times).alias("_pos"), F.sum((1 - F.col(y).cast("long")) * times).alias("_neg"), *extra
     )
     n_slices = 1 << log2_slices
     # different scores with their counts are stored: the edges of every key and the slices read them
@@ -194,9 +199,9 @@ def roc_auc(
 
 def fold_scores(
     df: DataFrame, keys: Sequence[str], fold: str = "fold", y: str = "y", yhat: str = "yhat", score: str = "p",
-    log2_slices: int = 9,
+    log2_slices: int = 9, weight: str | None = None,
 ) -> DataFrame:
-    """Six metrics per key and fold. A fold whose rows hold one class gets NaN on all six, and so
+    """Six metrics per key and fold; a row counts as often as ``weight`` says. A fold whose rows hold one class gets NaN on all six, and so
     does a fold whose model could not be fitted (its scores are NaN).
 
     The confusion counts ride along with the score counts, so one scan and one
@@ -207,7 +212,7 @@ def fold_scores(
     totals = _ranked_totals(df, by, y, score, log2_slices, {
         "tp": F.when((t == 1) & (p == 1), 1).otherwise(0), "fp": F.when((t == 0) & (p == 1), 1).otherwise(0),
         "unscored": F.when(F.isnan(score), 1).otherwise(0),
-    })
+    }, weight)
     counts = totals.withColumns({
         "fn": F.col("_p") - F.col("tp"), "tn": F.col("_n") - F.col("fp"), "n": F.col("_p") + F.col("_n"),
     })

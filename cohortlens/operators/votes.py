@@ -84,15 +84,17 @@ def collect_weights(members: DataFrame, order: Sequence[str]) -> dict[tuple[str,
 
 
 def vote_table(
-    df: DataFrame, ensembles: Mapping[tuple[str, str], Mapping[str, int]], keep: Sequence[str]
+    df: DataFrame, ensembles: Mapping[tuple[str, str], Mapping[str, int]], keep: Sequence[str], soft: bool = True
 ) -> DataFrame:
     """Long table ``keep, outcome, y, ensemble, yhat_hard, p_soft, yhat_soft``: all ensembles in one pass.
 
+    Without ``soft``, hard votes only.
+
     ``df`` has one row per row and outcome, with the scores of all members side by side.
     """
     def entry(name: str, w: Mapping[str, int]) -> Column:
-        return F.struct(F.lit(name).alias("ensemble"), hard_vote(w).alias("yhat_hard"),
-                        soft_score(w).alias("p_soft"), soft_vote(w).alias("yhat_soft"))
+        both = [soft_score(w).alias("p_soft"), soft_vote(w).alias("yhat_soft")] if soft else []
+        return F.struct(F.lit(name).alias("ensemble"), hard_vote(w).alias("yhat_hard"), *both)
 
     entries = F.array_compact(F.array(*[
         F.when(F.col("outcome") == o, entry(e, w)) for (o, e), w in ensembles.items()
