@@ -34,7 +34,7 @@ def _orders(spark, folder, attributes=("segment",), **options):
 
 def _order_vectors(spark, folder, outcome):
     """Imputed, assembled train and test orders, and the class counts of the training part."""
-    df = derive(C.orders_cohort(spark, folder), C.ORDER_SPEC)
+    df = materialize(derive(C.orders_cohort(spark, folder), C.ORDER_SPEC), "cohort")
     table, features = feature_table(df, C.ORDER_SPEC, fit_cohort_levels(df, C.ORDER_SPEC))
     table = materialize(split_train_test(table), "orders", ("is_test",))
     table = impute(read_split(table, "train"), table, list(C.ORDER_SPEC.numeric))

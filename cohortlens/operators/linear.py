@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -253,8 +254,10 @@ class LinearFitted(Fitted):
         name = name or self.algorithm.name
         kept = df.columns
         *w, intercept = self.weights
-        products = F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(v)) for v in w]), lambda x, v: x * v)
-        out = df.withColumn(score_col(name), F.aggregate(products, F.lit(float(intercept)), lambda a, x: a + x))
+        # a sum of plain products, which Spark compiles; functions over arrays are interpreted for every row
+        values = "_linear_values"
+        margin = reduce(lambda a, iv: a + F.get(values, F.lit(iv[0])) * F.lit(float(iv[1])), enumerate(w), F.lit(float(intercept)))
+        out = df.withColumn(values, vector_to_array("features")).withColumn(score_col(name), margin)
         p = 1 / (1 + F.exp(-F.col(score_col(name))))
         return out.select(*kept, p.alias(p_col(name)), score_col(name), F.when(p > 0.5, 1).otherwise(0).alias(yhat_col(name)))
 

@@ -27,7 +27,7 @@ from cohortlens.operators.training import (
 from cohortlens.operators.votes import collect_weights, ensemble_members, p_col, soft_score, vote_table, yhat_col
 from cohortlens.plans import evaluation as E
 from cohortlens.plans import reports as R
-from cohortlens.session import new_folder, settled
+from cohortlens.session import materialize, new_folder, settled
 from cohortlens.sources import ResultStore, read_split
 
 MODEL_KEYS = ["attribute", "grp", "outcome", "algorithm", "ordinal"]
@@ -104,7 +104,8 @@ class Study:
 def prepare(df: DataFrame, spec: StudySpec, store: ResultStore | None = None) -> Study:
     """Derive features and labels, split, and find fill values and fold ends of every scope."""
     store = store or ResultStore(df.sparkSession, new_folder(df.sparkSession, "study"))
-    derived = derive(df, spec.cohort)
+    # levels and split read the cohort several times: its joins are made once
+    derived = materialize(derive(df, spec.cohort), "cohort")
     table, features = feature_table(derived, spec.cohort, fit_cohort_levels(derived, spec.cohort))
     table = split_train_test(table, test_share=spec.test_share, seed=spec.seed)
     table = store.write("split", table.withColumn("okey", order_key("row_id", spec.seed)))
